@@ -5,10 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from leafmill.core import table
-from leafmill.llm import heavy
+from leafmill.llm import fields, heavy, mojibake
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +17,18 @@ def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heavy.heavy_values(heavy.web_values(spark, sf_dir)).select("field", "item_value", "item_count", "field_total")
 
 
+def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.garbled(fields.records(spark, sf_dir, "Link.text", "Image.alt", "Meta.title"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _garbled(spark, sf_dir).select("field", "rec_id").distinct()
+
+
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _garbled(spark, sf_dir).select("field", "rec_id", "text", "restored")
+
+
 _P1_VALUES = """
 WITH v AS (
   SELECT 'Link.url' AS field, url AS item_value FROM page_links
