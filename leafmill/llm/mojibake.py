@@ -32,7 +32,7 @@ QUANTILE = 0.1
 #: character beyond ASCII, and the share of it that may be left. UTF-8 checks itself: a letter followed by signs that
 #: together decode to a known character need not gain anything. One single-byte encoding for another has no such check.
 GAIN_UTF8, LEFT_UTF8, LOSS_SURE = 2.0, 0.65, 2.0
-GAIN, GAIN_EACH, LEFT = 6.0, 2.2, 0.5
+GAIN, GAIN_EACH, LEFT = 6.0, 2.2, 0.4
 #: Encodings that text is commonly read in by mistake, and the ones it was really written in.
 SINGLE = ("cp1252", "latin_1", "cp1250", "cp1251", "cp1253", "cp1254", "iso8859_2", "iso8859_5", "iso8859_7", "koi8_r", "cp437", "cp850", "cp852", "cp866", "mac_roman")
 DOUBLE = ("cp932", "euc_jp", "gbk", "big5", "euc_kr")
@@ -363,8 +363,8 @@ def _reread_all(text: str, model: PairModel) -> list[tuple[str, float]]:
             continue
         for meaning in maps:
             new = [meaning[ord(c)] for c in letters]
-            if "\0" not in new and all(model.known[min(ord(c), CHARS - 1)] and _sensible(c) for c in new):
-                found.add(text.translate(meaning))
+            if "\0" not in new and all(model.known[min(ord(c), CHARS - 1)] and _sensible(c) for c in new) and _fits(candidate := text.translate(meaning)):
+                found.add(candidate)
         raw = _raw(text, read)
         for written in WRITTEN:
             if written in DOUBLE and raw:
@@ -378,6 +378,19 @@ def _reread_all(text: str, model: PairModel) -> list[tuple[str, float]]:
     return [(c, model.badness(c)) for c in sorted(found)]
 
 
+_MISFIT = re.compile(r"[a-z][^\W\d_a-z\u00df-\u024f]|[^\W\d_A-Z\u00c0-\u024f][A-Za-z]|[A-Za-z][^\W\d_A-Za-z\u00c0-\u024f]")
+
+
+def _fits(text: str) -> bool:
+    """Whether no word mixes Latin with other letters or has a capital after a small letter beyond ASCII."""
+    small = None
+    for c in text:
+        if ord(c) > 0x7F and c.isupper() and small:
+            return False
+        small = c.islower()
+    return not any(ord(c) > 0x24F for c in "".join(_MISFIT.findall(text)))
+
+
 def _known(text: str, model: PairModel) -> bool:
     """Whether all characters beyond ASCII are letters and signs that the corpus has."""
     return all(_sensible(c) and model.known[min(ord(c), CHARS - 1)] for c in text if ord(c) > 0x7F)
