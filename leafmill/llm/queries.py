@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafmill.llm import fields, heavy, mojibake
+from leafmill.core import materialize
+
+from leafmill.llm import fields, heavy, mojibake, skeleton
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +20,20 @@ def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heavy.heavy_values(heavy.web_values(spark, sf_dir)).select("field", "item_value", "item_count", "field_total")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = fields.records(spark, sf_dir, "Link.text", "Image.alt", "Meta.title")
+    mixed = materialize(skeleton.ambiguous(materialize(skeleton.with_skeleton(records), "p2-forms")).dropDuplicates(["field", "rec_id", "text"]), "p2-mixed")
+    garbled = mojibake.detect(mixed, mojibake.fit(records.where("text <> ''").select("text"))).select("field", "rec_id")
+    return skeleton.lookalike_pairs(mixed.join(garbled, ["field", "rec_id"], "left_anti"))
+
+
+def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every form that stands for more than one stored text of a field, with how many texts and records it stands for."""
+    formed = skeleton.with_skeleton(fields.records(spark, sf_dir, "Link.text", "Image.alt", "Meta.title"))
+    texts = formed.groupBy("field", "skeleton", "text").agg(F.count("*").alias("n"))
+    return texts.groupBy("field", "skeleton").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n_rows")).where("n_texts > 1")
+
+
 def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.garbled(fields.records(spark, sf_dir, "Link.text", "Image.alt", "Meta.title"))
 
