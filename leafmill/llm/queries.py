@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.core import materialize
+from leafmill.core import materialize, table
 
-from leafmill.llm import fields, heavy, mojibake, skeleton
+from leafmill.llm import fields, heavy, mojibake, residue, skeleton
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,27 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.groupBy("field", "skeleton").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n_rows")).where("n_texts > 1")
 
 
+def _mined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = fields.records(spark, sf_dir, "Link.text", "Meta.title", "Meta.description")
+    return materialize(residue.mine(records, residue.site_names(table(spark, sf_dir, "sites"))), "p3-mined")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mined = _mined(spark, sf_dir)
+    return residue.residue(mined, residue.templates(mined)).select("field", "rec_id")
+
+
+def p3_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.templates(_mined(spark, sf_dir))
+
+
+def p3_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records that are left when residue is excluded, by field."""
+    mined = _mined(spark, sf_dir)
+    kept = mined.join(residue.residue(mined, residue.templates(mined)), ["field", "rec_id"], "left_anti")
+    return kept.select("field", "rec_id").distinct().groupBy("field").agg(F.count("*").alias("n_records"))
+
+
 def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.garbled(fields.records(spark, sf_dir, "Link.text", "Image.alt", "Meta.title"))
 
