@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leafmill.core import materialize, table
 
-from leafmill.llm import fields, heavy, mojibake, residue, skeleton
+from leafmill.llm import fields, heavy, mojibake, packing, residue, skeleton
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,23 @@ def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _garbled(spark, sf_dir).select("field", "rec_id", "text", "restored")
 
 
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every notebook, or piece of one, in a container of each capacity."""
+    lengths = materialize(packing.with_tokens(table(spark, sf_dir, "documents")), "p6-lengths")
+    out = None
+    for row in table(spark, sf_dir, "pack_sizes").orderBy("pack_id").limit(1000).collect():  # a handful by definition
+        packed = packing.pack(lengths, row.pack_id, row.capacity)
+        out = packed if out is None else out.unionByName(packed)
+    return out
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each capacity the number of containers and the share of their room that is used."""
+    packed = p6_pack(spark, sf_dir).groupBy("pack_id").agg(F.countDistinct("container_id").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
+    sizes = table(spark, sf_dir, "pack_sizes").select("pack_id", "capacity")
+    return packed.join(sizes, "pack_id").select("pack_id", "capacity", "n_containers", "n_tokens", (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity"))).alias("filled"))
+
+
 _P1_VALUES = """
 WITH v AS (
   SELECT 'Link.url' AS field, url AS item_value FROM page_links
