@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leafmill.core import materialize, table
 
-from leafmill.llm import fields, heavy, mojibake, packing, residue, skeleton
+from leafmill.llm import fields, heavy, leakage, mojibake, packing, residue, skeleton
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,16 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.join(sizes, "pack_id").select("pack_id", "capacity", "n_containers", "n_tokens", (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity"))).alias("filled"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every leaked item how many notebooks hold it, and its longest run."""
+    found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("run").alias("longest_run"))
+
+
 _P1_VALUES = """
 WITH v AS (
   SELECT 'Link.url' AS field, url AS item_value FROM page_links
