@@ -2,10 +2,10 @@
 
 1. Postings (term, document, position) of every corpus token that any test item uses are stored once; other tokens cannot
    take part in a match, only their positions count, and these are kept by the numbering.
-2. Document frequencies of the terms come from the stored index. Each item is covered by windows so short that every
-   admissible match leaves one of them untouched; a window is represented by its two rarest terms.
-3. The offset-adjusted postings (position minus offset in the item) of the two terms are intersected: both must fall on
-   one diagonal. A document is a candidate for an item if as many windows agree as an admissible match always leaves.
+2. Term frequencies come from the stored index. An item is probed by the two rarest terms of each stretch as long as the
+   run, and by its rarest terms, two more than the words that may differ: every admissible match keeps two of these.
+3. The offset-adjusted postings (position minus offset in the item) of the probes are intersected: two different probes
+   must fall on one diagonal or, for inexact matches, on diagonals no further apart than the words that may differ.
 4. Candidates are settled from the postings: the longest run of equal words (exact phrase), else the edit distance of the
    whole item to the best place in the document (proximity).
 
@@ -18,7 +18,7 @@ results do not depend on partitioning; an item that stands in very many document
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,26 +53,16 @@ class Item:
     def edits(self) -> int:
         return len(self.terms) // ONE_IN
 
-    @property
-    def window(self) -> int:
-        """Length of a run that every admissible match leaves untouched."""
-        whole = -(-(len(self.terms) - self.edits) // (self.edits + 1))
-        return max(1, min(whole, RUN))
-
-    @property
-    def agreeing(self) -> int:
-        """How many windows every admissible match leaves untouched, at least."""
-        whole = len(self.terms) - self.edits - (self.window - 1) * (self.edits + 1)
-        return max(1, min(whole, RUN - self.window + 1) if len(self.terms) >= RUN else whole)
+    def probes(self, frequency: dict[int, int]) -> set[int]:
+        """Offsets of the terms that are looked up."""
 
+        def rarest(offsets: range, n: int) -> list[int]:
+            return sorted(offsets, key=lambda k: (frequency.get(self.terms[k], 0), self.terms[k], k))[:n]
 
-def anchors(item: Item, frequency: dict[int, int]) -> Counter:
-    """(first offset, second offset) of the two rarest terms of each window, with how many windows they stand for."""
-    out: Counter = Counter()
-    for start in range(len(item.terms) - item.window + 1):
-        span = sorted(range(start, start + item.window), key=lambda k: (frequency.get(item.terms[k], 0), item.terms[k], k))
-        out[tuple(sorted(span[:2])) if len(span) > 1 else (span[0], span[0])] += 1
-    return out
+        out = set(rarest(range(len(self.terms)), self.edits + 2))
+        for start in range(len(self.terms) - RUN + 1):
+            out.update(rarest(range(start, start + RUN), 2))
+        return out
 
 
 def longest_run(doc: dict[int, int], item: tuple[int, ...]) -> int:
@@ -144,19 +134,16 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     items = {k: Item(i, tuple(number[w] for w in ws)) for k, (i, ws) in enumerate(rows)}
     terms = spark.createDataFrame([(w, k) for w, k in number.items()], "word string, term int")
     index = store(documents, terms, few=len(number) <= MOST_WORDS)
-    frequency = {r.term: r.n for r in index.groupBy("term").agg(F.approx_count_distinct("doc_id").alias("n")).collect()}
-    # For every pair of offsets, one row for each of its two terms.
-    probes, weights, pair = [], [], 0
-    for k, item in items.items():
-        for (a, b), n in anchors(item, frequency).items():
-            weights.append((pair, k, n, item.agreeing, len(item.terms)))
-            probes += [(item.terms[a], pair, a, 1 if a != b else 3)] + ([(item.terms[b], pair, b, 2)] if a != b else [])
-            pair += 1
-    probe = F.broadcast(spark.createDataFrame(probes, "term int, pair int, offset int, side int"))  # two rows for each word of the items at most
-    weight = F.broadcast(spark.createDataFrame(weights, "pair int, item int, n int, agreeing int, length int"))
-    hits = index.join(probe, "term").select("doc_id", "pair", (F.col("pos") - F.col("offset")).alias("diagonal"), "side")
-    both = hits.groupBy("doc_id", "pair", "diagonal").agg(F.bit_or("side").alias("sides")).where("sides = 3")
-    near = both.join(weight, "pair").groupBy("doc_id", "item").agg(F.sum("n").alias("n"), F.min("diagonal").alias("lo"), F.max("diagonal").alias("hi"), F.first("agreeing").alias("agreeing"), F.first("length").alias("length")).where("n >= agreeing")
+    frequency = {r.term: r.n for r in index.groupBy("term").agg(F.count("*").alias("n")).collect()}
+    # Diagonals that differ by the most edits share a tile of one of two tilings, half a tile apart.
+    reach = max(item.edits for item in items.values()) + 1
+    probes = [(item.terms[o], k, o, len(item.terms)) for k, item in items.items() for o in sorted(item.probes(frequency))]
+    probe = F.broadcast(spark.createDataFrame(probes, "term int, item int, offset int, length int"))  # at most the words of the items
+    diagonal = F.col("pos") - F.col("offset")
+    tile = F.explode(F.array(2 * F.floor(diagonal / (2 * reach)), 2 * F.floor((diagonal + reach) / (2 * reach)) + 1))
+    hits = index.join(probe, "term").select("doc_id", "item", "offset", "length", diagonal.alias("diagonal"), tile.alias("tile"))
+    tiles = hits.groupBy("doc_id", "item", "tile").agg(F.min("offset").alias("a"), F.max("offset").alias("b"), F.min("diagonal").alias("lo"), F.max("diagonal").alias("hi"), F.first("length").alias("length"))
+    near = tiles.where("a < b OR length = 1").groupBy("doc_id", "item").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("length").alias("length"))
     candidates = materialize(near.select("doc_id", "item", (F.col("lo") - F.col("length")).alias("lo"), (F.col("hi") + 2 * F.col("length")).alias("hi")), "p7-candidates")
     # The index is read again for the candidates' documents only: a table of at most 2^20 hashes goes before the join.
     mark = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).cast("int")
