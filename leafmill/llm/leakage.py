@@ -3,9 +3,9 @@
 1. Postings (term, document, position) of every corpus token that any test item uses are stored once; other tokens cannot
    take part in a match, only their positions count, and these are kept by the numbering.
 2. Term frequencies come from the stored index. An item is probed by the two rarest terms of each stretch as long as the
-   run, and by its rarest terms, two more than the words that may differ: every admissible match keeps two of these.
-3. The offset-adjusted postings (position minus offset in the item) of the probes are intersected: two different probes
-   must fall on one diagonal or, for inexact matches, on diagonals no further apart than the words that may differ.
+   run, and by its rarest terms, three more than the words that may differ.
+3. The offset-adjusted postings (position minus offset in the item) of the probes are intersected. An exact run keeps two
+   probes on one diagonal; an inexact match keeps three on diagonals no further apart than the words that may differ.
 4. Candidates are settled from the postings: the longest run of equal words (exact phrase), else the edit distance of the
    whole item to the best place in the document (proximity).
 
@@ -53,13 +53,18 @@ class Item:
     def edits(self) -> int:
         return len(self.terms) // ONE_IN
 
+    @property
+    def need(self) -> int:
+        """Probes that every inexact match keeps."""
+        return min(3, len(self.terms) - self.edits)
+
     def probes(self, frequency: dict[int, int]) -> set[int]:
         """Offsets of the terms that are looked up."""
 
         def rarest(offsets: range, n: int) -> list[int]:
             return sorted(offsets, key=lambda k: (frequency.get(self.terms[k], 0), self.terms[k], k))[:n]
 
-        out = set(rarest(range(len(self.terms)), self.edits + 2))
+        out = set(rarest(range(len(self.terms)), self.edits + 3))
         for start in range(len(self.terms) - RUN + 1):
             out.update(rarest(range(start, start + RUN), 2))
         return out
@@ -137,18 +142,20 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     frequency = {r.term: r.n for r in index.groupBy("term").agg(F.count("*").alias("n")).collect()}
     # Diagonals that differ by the most edits share a tile of one of two tilings, half a tile apart.
     reach = max(item.edits for item in items.values()) + 1
-    probes = [(item.terms[o], k, o, len(item.terms)) for k, item in items.items() for o in sorted(item.probes(frequency))]
-    probe = F.broadcast(spark.createDataFrame(probes, "term int, item int, offset int, length int"))  # at most the words of the items
-    diagonal = F.col("pos") - F.col("offset")
-    tile = F.explode(F.array(2 * F.floor(diagonal / (2 * reach)), 2 * F.floor((diagonal + reach) / (2 * reach)) + 1))
-    hits = index.join(probe, "term").select("doc_id", "item", "offset", "length", diagonal.alias("diagonal"), tile.alias("tile"))
-    tiles = hits.groupBy("doc_id", "item", "tile").agg(F.min("offset").alias("a"), F.max("offset").alias("b"), F.min("diagonal").alias("lo"), F.max("diagonal").alias("hi"), F.first("length").alias("length"))
-    near = tiles.where("a < b OR length = 1").groupBy("doc_id", "item").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("length").alias("length"))
-    candidates = materialize(near.select("doc_id", "item", (F.col("lo") - F.col("length")).alias("lo"), (F.col("hi") + 2 * F.col("length")).alias("hi")), "p7-candidates")
+    probes = [(item.terms[o], k, o, item.need) for k, item in items.items() for o in sorted(item.probes(frequency))]
+    probe = F.broadcast(spark.createDataFrame(probes, "term int, item int, offset int, need int"))  # at most the words of the items
+    hits = index.join(probe, "term").select("doc_id", "item", (F.col("pos") - F.col("offset")).alias("diagonal"), "offset", "need")
+    lines = hits.repartition("doc_id", "item").groupBy("doc_id", "item", "diagonal").agg(F.count_distinct("offset").alias("n"), F.first("need").alias("need"))
+    tile = F.explode(F.array(2 * F.floor(F.col("diagonal") / (2 * reach)), 2 * F.floor((F.col("diagonal") + reach) / (2 * reach)) + 1))
+    tiles = lines.withColumn("tile", tile).groupBy("doc_id", "item", "tile").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.min("diagonal").alias("lo"), F.max("diagonal").alias("hi"), F.first("need").alias("need"))
+    lengths = F.broadcast(spark.createDataFrame([(k, len(item.terms)) for k, item in items.items()], "item int, length int"))
+    near = tiles.where("n >= need OR most >= 2").join(lengths, "item")
+    candidates = materialize(near.select("doc_id", "item", "tile", (F.col("lo") - reach).alias("lo"), (F.col("hi") + F.col("length") + reach).alias("hi")), "p7-candidates")
     # The index is read again for the candidates' documents only: a table of at most 2^20 hashes goes before the join.
     mark = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).cast("int")
     marks = F.broadcast(candidates.select(mark.alias("mark")).distinct())
     kept = index.withColumn("mark", mark).join(marks, "mark", "left_semi").drop("mark")
     around = kept.join(candidates, "doc_id").where("pos BETWEEN lo AND hi")
-    texts = around.groupBy("doc_id", "item").agg(F.collect_list(F.struct("pos", "term")).alias("found"))
-    return texts.mapInArrow(_settle(items), out)
+    texts = around.groupBy("doc_id", "item", "tile").agg(F.collect_list(F.struct("pos", "term")).alias("found"))
+    settled = texts.select("doc_id", "item", "found").mapInArrow(_settle(items), out)
+    return settled.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.min("edits").alias("edits"))
