@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leafmill.core import materialize, table
 
-from leafmill.llm import fields, heavy, leakage, mojibake, packing, residue, skeleton
+from leafmill.llm import fields, heavy, leakage, mojibake, packing, residue, skeleton, subjects
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +94,19 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("run").alias("longest_run"))
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.assign(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "subjects"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the corpus each subject has."""
+    return _subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("n_documents"), F.sum("share").alias("documents_worth"))
+
+
 _P1_VALUES = """
 WITH v AS (
   SELECT 'Link.url' AS field, url AS item_value FROM page_links
