@@ -4,8 +4,9 @@
    take part in a match, only their positions count, and these are kept by the numbering.
 2. Term frequencies come from the stored index. An item is probed by the two rarest terms of each stretch as long as the
    run, and by its rarest terms, three more than the words that may differ.
-3. The offset-adjusted postings (position minus offset in the item) of the probes are intersected. An exact run keeps two
-   probes on one diagonal; an inexact match keeps three on diagonals no further apart than the words that may differ.
+3. The offset-adjusted postings (position minus offset in the item) of the probes are intersected. An exact run has all
+   probes of a stretch as long as the run on one diagonal; an inexact match lacks no more probes than words may differ,
+   on diagonals no further apart than that.
 4. Candidates are settled from the postings: the longest run of equal words (exact phrase), else the edit distance of the
    whole item to the best place in the document (proximity).
 
@@ -53,11 +54,6 @@ class Item:
     def edits(self) -> int:
         return len(self.terms) // ONE_IN
 
-    @property
-    def need(self) -> int:
-        """Probes that every inexact match keeps."""
-        return min(3, len(self.terms) - self.edits)
-
     def probes(self, frequency: dict[int, int]) -> set[int]:
         """Offsets of the terms that are looked up."""
 
@@ -70,6 +66,20 @@ class Item:
         return out
 
 
+def _whole_stretch(masks: dict[int, list[int]]):
+    """Diagonals on which all probes of one of the item's stretches stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for item, probes in zip(batch.column("item").to_pylist(), batch.column("probes").to_pylist(), strict=True):
+                bits = sum(1 << k for k in probes)
+                keep.append(any(m & bits == m for m in masks[item]))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def longest_run(doc: dict[int, int], item: tuple[int, ...]) -> int:
     """Most consecutive words of the item that stand consecutively in the document (position to term)."""
     at = defaultdict(list)
@@ -142,20 +152,23 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     frequency = {r.term: r.n for r in index.groupBy("term").agg(F.count("*").alias("n")).collect()}
     # Diagonals that differ by the most edits share a tile of one of two tilings, half a tile apart.
     reach = max(item.edits for item in items.values()) + 1
-    probes = [(item.terms[o], k, o, item.need) for k, item in items.items() for o in sorted(item.probes(frequency))]
-    probe = F.broadcast(spark.createDataFrame(probes, "term int, item int, offset int, need int"))  # at most the words of the items
-    hits = index.join(probe, "term").select("doc_id", "item", (F.col("pos") - F.col("offset")).alias("diagonal"), "offset", "need")
-    lines = hits.repartition("doc_id", "item").groupBy("doc_id", "item", "diagonal").agg(F.count_distinct("offset").alias("n"), F.first("need").alias("need"))
+    places = {k: sorted(item.probes(frequency)) for k, item in items.items()}
+    probes = [(items[k].terms[o], k, i, o, len(os) - items[k].edits) for k, os in places.items() for i, o in enumerate(os)]
+    masks = {k: sorted({sum(1 << i for i, o in enumerate(os) if s <= o < s + RUN) for s in range(len(items[k].terms) - RUN + 1)}) for k, os in places.items()}
+    probe = F.broadcast(spark.createDataFrame(probes, "term int, item int, probe int, offset int, need int"))  # at most the words of the items
+    hits = index.join(probe, "term").select("doc_id", "item", (F.col("pos") - F.col("offset")).alias("diagonal"), "probe", "need").repartition("doc_id", "item")
+    lines = hits.groupBy("doc_id", "item", "diagonal").agg(F.collect_set("probe").alias("probes"), F.first("need").alias("need"))
+    exact = lines.where("size(probes) >= 2").mapInArrow(_whole_stretch(masks), lines.schema).select("doc_id", "item", F.lit(-1).cast("bigint").alias("tile"), F.col("diagonal").alias("lo"), F.col("diagonal").alias("hi"))
     tile = F.explode(F.array(2 * F.floor(F.col("diagonal") / (2 * reach)), 2 * F.floor((F.col("diagonal") + reach) / (2 * reach)) + 1))
-    tiles = lines.withColumn("tile", tile).groupBy("doc_id", "item", "tile").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.min("diagonal").alias("lo"), F.max("diagonal").alias("hi"), F.first("need").alias("need"))
+    tiles = lines.select("doc_id", "item", "diagonal", F.size("probes").alias("n"), "need", tile.alias("tile")).groupBy("doc_id", "item", "tile").agg(F.sum("n").alias("n"), F.min("diagonal").alias("lo"), F.max("diagonal").alias("hi"), F.first("need").alias("need"))
+    near = exact.unionByName(tiles.where("n >= need").select("doc_id", "item", "tile", "lo", "hi"))
     lengths = F.broadcast(spark.createDataFrame([(k, len(item.terms)) for k, item in items.items()], "item int, length int"))
-    near = tiles.where("n >= need OR most >= 2").join(lengths, "item")
-    candidates = materialize(near.select("doc_id", "item", "tile", (F.col("lo") - reach).alias("lo"), (F.col("hi") + F.col("length") + reach).alias("hi")), "p7-candidates")
+    candidates = materialize(near.join(lengths, "item").select("doc_id", "item", "tile", (F.col("lo") - reach).alias("lo"), (F.col("hi") + F.col("length") + reach).alias("hi")), "p7-candidates")
     # The index is read again for the candidates' documents only: a table of at most 2^20 hashes goes before the join.
     mark = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).cast("int")
     marks = F.broadcast(candidates.select(mark.alias("mark")).distinct())
     kept = index.withColumn("mark", mark).join(marks, "mark", "left_semi").drop("mark")
     around = kept.join(candidates, "doc_id").where("pos BETWEEN lo AND hi")
-    texts = around.groupBy("doc_id", "item", "tile").agg(F.collect_list(F.struct("pos", "term")).alias("found"))
+    texts = around.groupBy("doc_id", "item", "tile", "lo").agg(F.collect_list(F.struct("pos", "term")).alias("found"))
     settled = texts.select("doc_id", "item", "found").mapInArrow(_settle(items), out)
     return settled.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.min("edits").alias("edits"))
