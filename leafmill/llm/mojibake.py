@@ -301,7 +301,7 @@ def restore(text: str, model: PairModel, spans: list[tuple[int, int]] | None = N
         won = before - left
         if won <= gain:
             return
-        if kind == 1 and (won < GAIN_UTF8 or left > LEFT_UTF8 * before):
+        if kind == 1 and (won < GAIN_UTF8 or left > LEFT_UTF8 * before or not _known(candidate, model, 0.8)):
             return
         best, gain = candidate, won
 
@@ -391,9 +391,10 @@ def _fits(text: str) -> bool:
     return not any(ord(c) > 0x24F for c in "".join(_MISFIT.findall(text)))
 
 
-def _known(text: str, model: PairModel) -> bool:
-    """Whether all characters beyond ASCII are letters and signs that the corpus has."""
-    return all(_sensible(c) and model.known[min(ord(c), CHARS - 1)] for c in text if ord(c) > 0x7F)
+def _known(text: str, model: PairModel, share: float = 1.0) -> bool:
+    """Whether of the characters beyond ASCII at least ``share`` are letters and signs that the corpus has."""
+    wide = [c for c in text if ord(c) > 0x7F]
+    return sum(_sensible(c) and bool(model.known[min(ord(c), CHARS - 1)]) for c in wide) >= share * len(wide)
 
 
 def _detect(model: PairModel):
