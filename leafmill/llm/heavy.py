@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEVELS = (8, 16, 24, 32)
-BLOCK = 2048
+BLOCK = 1024
+WIDEST = 1 << 20
 _MIX = np.random.RandomState(20240817).randint(1, 2**63 - 1, size=(16, 4), dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
 
@@ -99,27 +100,46 @@ class FieldSketch:
     counters: np.ndarray
     shape: SketchShape
 
-    def estimate(self, level: int, prefix: np.ndarray) -> np.ndarray:
-        """Approximate number of rows under each prefix of ``level`` bits: the median over the sketch rows."""
-        i = LEVELS.index(level)
+    def _median(self, level: int, prefix: np.ndarray, counters: np.ndarray) -> np.ndarray:
         each = []
         for row in range(self.shape.depth):
             bucket, sign = _slots(prefix, level, row, self.shape)
-            each.append(self.counters[i, row][bucket] * sign)
+            each.append(counters[row][bucket] * sign)
         return np.median(np.array(each), axis=0)
 
-    def slack(self, level: int) -> float:
+    def estimate(self, level: int, prefix: np.ndarray) -> np.ndarray:
+        """Approximate number of rows under each prefix of ``level`` bits: the median over the sketch rows."""
+        return self._median(level, prefix, self.counters[LEVELS.index(level)])
+
+    def slack(self, level: int, counters: np.ndarray | None = None) -> float:
         """Three standard errors of an estimate, from the second moment the sketch itself measures."""
-        squares = (self.counters[LEVELS.index(level)].astype(np.float64) ** 2).sum(axis=1)
+        squares = ((self.counters[LEVELS.index(level)] if counters is None else counters).astype(np.float64) ** 2).sum(axis=1)
         return 3.0 * float(np.sqrt(np.median(squares) / self.shape.width))
 
-    def heavy(self, share: float) -> np.ndarray:
-        """32-bit prefixes that may hold at least ``share`` of the rows, found by descending heavy prefixes only."""
+    def heavy(self, share: float) -> np.ndarray | None:
+        """32-bit prefixes that may hold at least ``share`` of the rows, found by descending heavy prefixes only.
+
+        At each level the certainly heavy prefixes are taken out of the sketch, so that they do not blur the others. None
+        if the sketch is too narrow to tell ``share`` from half of it.
+        """
+        wanted = share * self.total
         nodes = np.arange(256, dtype=np.uint64)
-        for level in LEVELS:
-            if level != LEVELS[0]:
+        for i, level in enumerate(LEVELS):
+            if i:
                 nodes = (nodes[:, None] << np.uint64(8) | np.arange(256, dtype=np.uint64)[None, :]).ravel()
-            nodes = nodes[self.estimate(level, nodes) >= max(1.0, share * self.total - self.slack(level))]
+            rest = self.counters[i].astype(np.float64)
+            sure = np.zeros(len(nodes), bool)
+            for _ in range(3):
+                more = ~sure & (self._median(level, nodes, rest) >= wanted)
+                amounts = self._median(level, nodes[more], rest)
+                for row in range(self.shape.depth):
+                    bucket, sign = _slots(nodes[more], level, row, self.shape)
+                    np.subtract.at(rest[row], bucket, sign * amounts)
+                sure |= more
+            slack = self.slack(level, rest)
+            if slack > 0.5 * wanted and self.shape.width < WIDEST:
+                return None
+            nodes = nodes[sure | (self._median(level, nodes, rest) >= max(0.5, wanted - slack))]
         return nodes
 
 
@@ -130,7 +150,7 @@ def sketch_fields(values: DataFrame, shape: SketchShape | None = None) -> dict[s
     parts = hashed.mapInArrow(_fold(shape), "field string, part int, counters array<bigint>")
     merged = parts.repartition(min(64, len(LEVELS) * shape.depth), "field", "part").mapInArrow(_merge, parts.schema)
     found: dict[str, dict[int, list[int]]] = {}
-    for row in merged.toLocalIterator():
+    for row in merged.collect():  # of fixed size
         found.setdefault(row.field, {})[row.part] = row.counters
     size = (len(LEVELS), shape.depth, shape.width)
     return {f: FieldSketch(p[-1][0], np.array([p[k] for k in range(len(p) - 1)], np.int64).reshape(size), shape) for f, p in found.items()}
@@ -143,8 +163,13 @@ def heavy_values(values: DataFrame, share: float = 0.01, shape: SketchShape | No
     """
     spark = values.sparkSession
     wanted, rows = [], []
-    for name, sketch in sorted(sketch_fields(values, shape).items()):
-        prefixes = sketch.heavy(share)
+    shape = shape or SketchShape()
+    found = {name: (sketch, sketch.heavy(share)) for name, sketch in sketch_fields(values, shape).items()}
+    while any(prefixes is None for _, prefixes in found.values()):  # too narrow for these data: scan again, wider
+        shape = SketchShape(shape.width * 8, shape.depth)
+        again = values.where(F.col("field").isin([name for name, (_, prefixes) in found.items() if prefixes is None]))
+        found |= {name: (sketch, sketch.heavy(share)) for name, sketch in sketch_fields(again, shape).items()}
+    for name, (sketch, prefixes) in sorted(found.items()):
         rows += [(name, int(p), float(e), sketch.total) for p, e in zip(prefixes, sketch.estimate(LEVELS[-1], prefixes), strict=True)]
         if len(prefixes):
             wanted.append((F.col("field") == name) & F.col("prefix").isin([int(p) for p in prefixes]))

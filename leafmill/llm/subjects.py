@@ -144,7 +144,7 @@ def _gather(stored: DataFrame, run, sizes: dict[str, tuple[int, int]]) -> dict[s
     """Add up the fixed-size sums that ``run`` yields for every partition; the driver gets one of each."""
     merged = stored.mapInArrow(run, _SUMS).repartition(24, "kind", "k", "part").mapInArrow(_merge, _SUMS)
     out = {kind: np.zeros(shape) for kind, shape in sizes.items()}
-    for row in merged.toLocalIterator():
+    for row in merged.collect():  # of fixed size
         piece = np.frombuffer(row.sums, np.float32)
         out[row.kind][row.k, row.part * _PIECE : row.part * _PIECE + len(piece)] = piece
     return out

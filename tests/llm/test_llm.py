@@ -158,7 +158,7 @@ def test_runs_are_maximal_segments():
 
 
 def test_garbled_edges(spark):
-    rows = [("f", k, g, "x") for k, g in enumerate(GOOD * 20)] + [("f", 900, "KÃ¼chengerÃ¤te", "x"), ("f", 900, "KÃ¼chengerÃ¤te", "x"), ("f", 901, None, "x"), ("f", 902, "", "x"), ("f", 903, "gone �", "x"), ("f", 904, "a" * 300_000 + "Ã¼", "x")]
+    rows = [("f", k, g, "x") for k, g in enumerate(GOOD * 20)] + [("f", 900, "KÃ¼chengerÃ¤te", "x"), ("f", 900, "KÃ¼chengerÃ¤te", "x"), ("f", 901, None, "x"), ("f", 902, "", "x"), ("f", 903, "gone �", "x"), ("f", 904, " ".join(GOOD * 1000) + " KÃ¼che", "x")]
     df = spark.createDataFrame(rows, "field string, rec_id bigint, text string, restored string")
     got = {r.rec_id: r.restored for r in mojibake.garbled(df).collect()}
     assert set(got) == {900, 903, 904} and got[900] == "Küchengeräte" and got[903] is None
