@@ -397,6 +397,35 @@ def _known(text: str, model: PairModel, share: float = 1.0) -> bool:
     return sum(_sensible(c) and bool(model.known[min(ord(c), CHARS - 1)]) for c in wide) >= share * len(wide)
 
 
+#: Longer texts are restored stretch by stretch, divided at white space, so that the work stays in proportion.
+STRETCH = 300
+
+
+def stretches(text: str) -> list[str]:
+    """The text in pieces of about ``STRETCH`` characters that end with white space where there is any."""
+    out, at = [], 0
+    while at < len(text):
+        end = at + STRETCH
+        if end < len(text):
+            m = _BREAK.search(text, end, end + STRETCH)
+            end = m.end() if m else end + STRETCH
+        out.append(text[at:end])
+        at = end
+    return out
+
+
+_BREAK = re.compile(r"\s")
+
+
+def restore_all(text: str, model: PairModel) -> str | None:
+    """``restore`` for texts of any length."""
+    if len(text) <= 2 * STRETCH:
+        return restore(text, model)
+    pieces = stretches(text)
+    better = [restore(p, model) if not p.isascii() or "&#" in p else None for p in pieces]
+    return "".join(b or p for b, p in zip(better, pieces, strict=True)) if any(better) else None
+
+
 def _detect(model: PairModel):
     schema = pa.schema([("field", pa.string()), ("rec_id", pa.int64()), ("text", pa.string()), ("restored", pa.string())])
 
@@ -427,7 +456,7 @@ def judge_all(texts: list[str], model: PairModel, into: dict[str, tuple[bool, st
     for t, s, n in zip(texts, starts.tolist(), lengths.tolist(), strict=True):
         restored = None
         if (n > 1 and odd[s + n - 1] > odd[s]) or "&#" in t:
-            restored = restore(t, model, runs(np.clip(model.threshold - scores[s : s + n - 1], -6, 6)) if n > 1 else [])
+            restored = restore(t, model, runs(np.clip(model.threshold - scores[s : s + n - 1], -6, 6)) if n > 1 else []) if n <= 2 * STRETCH else restore_all(t, model)
         into[t] = (restored is not None or "�" in t, restored)
 
 

@@ -142,7 +142,7 @@ def test_utf8_round_trip(model, good, wrong):
 
 
 def test_more_wrong_decodings(model):
-    for bad, good in {"Велосипеды от 12 рублей".encode("cp1251").decode("latin_1"): "Велосипеды от 12 рублей", "Größentabelle für Anfänger".encode("latin_1").decode("cp437"): "Größentabelle für Anfänger", "KÃƒÂ¼chengerÃƒÂ¤te ab 12 Euro": "Küchengeräte ab 12 Euro", "grã¶ãŸentabelle": "größentabelle", "K&#195;&#188;chenger&#195;&#164;te": "Küchengeräte"}.items():
+    for bad, good in {"Велосипеды от 12 рублей".encode("cp1251").decode("latin_1"): "Велосипеды от 12 рублей", "Größentabelle für Anfänger".encode("latin_1").decode("cp437"): "Größentabelle für Anfänger", "KÃƒÂ¼chengerÃƒÂ¤te ab 12 Euro": "Küchengeräte ab 12 Euro", "grã¶ãÿentabelle": "größentabelle", "K&#195;&#188;chenger&#195;&#164;te": "Küchengeräte"}.items():
         assert (mojibake.restore(bad, model) or "").lower() == good.lower()
 
 
