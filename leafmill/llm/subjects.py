@@ -159,23 +159,26 @@ class Model:
     h: np.ndarray
     mass: np.ndarray
     company: np.ndarray
+    usual: np.ndarray
 
     def shares(self) -> np.ndarray:
         """For each subject and term the part of the term's mass in the subjects that is this subject's.
 
         Terms of rare languages count like those of frequent ones. ``SUPPORT`` keeps terms seen too seldom from being
-        anybody's; terms that no subject holds by at least ``OWN``, or whose documents are about the subject by less than
-        ``COMPANY`` on average (setting-up code, say, that has a subject's word), are common.
+        anybody's; terms that no subject holds by at least ``OWN``, or whose documents are about the subject not by
+        ``COMPANY`` of what is possible more than all documents (setting-up code, say, that has a subject's word), are
+        common.
         """
         explained = self.h * self.mass[:, None]
         mine = explained[: len(self.subjects)]
         part = mine / (mine.sum(axis=0) + SUPPORT)
-        return np.where((part >= OWN) & (self.company >= COMPANY), part, 0).astype(np.float32)
+        least = self.usual + COMPANY * (1 - self.usual)
+        return np.where((part >= OWN) & (self.company >= least[:, None]), part, 0).astype(np.float32)
 
 
 #: What every term starts with in every component that is open to it.
 OPEN = 0.01
-SUPPORT, OWN, COMPANY = 0.3, 0.25, 0.4
+SUPPORT, OWN, COMPANY = 0.3, 0.25, 0.35
 LANGS = ("en", "de", "es", None)
 
 
@@ -248,6 +251,7 @@ def fit(stored: DataFrame, labels: DataFrame, subjects: list[str], rounds: int =
     h /= np.maximum(np.sqrt((h**2).sum(axis=1, keepdims=True)), 1e-9)
     open_to = np.ones_like(h)
     open_to[:n][:, anchored] = (seeds[:, anchored] > 0).astype(np.float32)
+    open_to[:n][seeds.max(axis=1) == 0] = 0  # a subject without any seed stays empty
     h = np.where(open_to > 0, h + OPEN, 0).astype(np.float32)
 
     for _ in range(rounds):
@@ -287,7 +291,7 @@ def fit(stored: DataFrame, labels: DataFrame, subjects: list[str], rounds: int =
         yield _emit("company", sums)
 
     got = _gather(stored, company, {"company": (n + 1, COLUMNS)})["company"]
-    return Model(subjects, idf, h, mass, got[:n] / np.maximum(got[n], 1e-9))
+    return Model(subjects, idf, h, mass, got[:n] / np.maximum(got[n], 1e-9), got[:n].sum(axis=1) / max(got[n].sum(), 1e-9))
 
 
 EVIDENCE = 0.6
@@ -322,5 +326,7 @@ def document_subjects(judged: DataFrame, share: float = 0.2) -> DataFrame:
 
 def assign(documents: DataFrame, labels: DataFrame, subjects: DataFrame, share: float = 0.2) -> DataFrame:
     names = [r.subject for r in subjects.where("subject IS NOT NULL").select("subject").distinct().orderBy("subject").limit(1000).collect()]  # a fixed list
+    if not names:
+        return documents.sparkSession.createDataFrame([], "doc_id bigint, subject string, share double")
     stored = materialize(cells(documents), "p8-cells")
     return document_subjects(cell_subjects(stored, fit(stored, labels, names)), share)

@@ -269,13 +269,13 @@ def test_distance_and_run():
 def corpus(seed, n):
     """Documents of two subjects with words of their own, in two languages that share the words of the code."""
     rng = random.Random(seed)
-    own = {"law": ["court", "judge", "verdict", "clause", "appeal"], "music": ["violin", "chord", "tempo", "melody", "sonata"]}
-    foreign = {"law": ["gericht", "richter", "urteil", "klausel"], "music": ["geige", "akkord", "melodie", "sonate"]}
+    own = {"law": "court judge verdict clause appeal", "music": "violin chord tempo melody sonata", "sport": "match medal coach relay striker", "cooking": "flour oven broth recipe yeast", "climate": "storm glacier flood ozone frost"}
+    foreign = {"law": "gericht richter urteil klausel", "music": "geige akkord melodie sonate", "sport": "spiel medaille trainer staffel", "cooking": "mehl ofen brühe rezept", "climate": "sturm gletscher flut eis"}
+    own, foreign = ({k: v.split() for k, v in d.items()} for d in (own, foreign))
     rows, truth, labels = [], set(), []
     for k in range(n):
         lang = "de" if k % 4 == 0 else "en"
-        both = rng.random() < 0.3
-        mine = ["law", "music"] if both else [rng.choice(["law", "music"])]
+        mine = rng.sample(sorted(own), 2 if rng.random() < 0.3 else 1)
         kinds, starts, text = [], [], ""
         for s in mine * 2:
             for kind in ("text", "code"):
@@ -299,14 +299,14 @@ DOCS = "doc_id bigint, text string, lang string, cell_types array<string>, cell_
 
 
 def test_subjects_on_held_out_documents(spark):
-    rows, truth, labels = corpus(1, 400)
-    rows += [(900, None, None, None, None, "x"), (901, "", "en", [], [], "x"), (902, "x", "en", ["output"], [0], "x"), (903, "import os", "en", ["code"], [0], "x")]
-    names = spark.createDataFrame([(1, "law"), (2, "music"), (3, None)], "subject_id int, subject string")
+    rows, truth, labels = corpus(1, 800)
+    rows += [(1900, None, None, None, None, "x"), (1901, "", "en", [], [], "x"), (1902, "x", "en", ["output"], [0], "x"), (1903, "import os", "en", ["code"], [0], "x")]
+    names = spark.createDataFrame([(1, "law"), (2, "music"), (3, None), (4, "sport"), (5, "cooking"), (6, "climate"), (7, "law")], "subject_id int, subject string")
     got = {(r.doc_id, r.subject) for r in subjects.assign(spark.createDataFrame(rows, DOCS), spark.createDataFrame([*labels, (None, "law"), (5000, "music"), (3, "none")], "doc_id bigint, subject string"), names).collect()}
-    held = {k for k in range(400)} - {k for k, _ in labels}
+    held = {k for k in range(800)} - {k for k, _ in labels}
     right = {g for g in got if g[0] in held} & truth
     assert len(right) >= 0.95 * len({t for t in truth if t[0] in held}) and len(right) >= 0.95 * len({g for g in got if g[0] in held})
-    assert not {g for g in got if g[0] >= 900}
+    assert not {g for g in got if g[0] >= 1900}
 
 
 def test_subjects_without_rows_or_labels(spark):
