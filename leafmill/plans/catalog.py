@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.core import table
-from leafmill.functions import colors, text, urls
-from leafmill.operators import clean, css, facets, forms, jsonld, markdown, nested, selectors
+from leafmill.functions import colors, register, text, urls
+from leafmill.operators import clean, css, facets, forms, jsonld, markdown, nested, record, selectors
 from leafmill.operators.tokenizer import elements, tokenize
 from leafmill.sources import bytes as raw
 
@@ -643,6 +643,92 @@ def markdown_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("page_id", text.clean_text(F.regexp_extract("markdown", "(?m)^(# .*)$", 1)).alias("heading")).where("heading <> ''")
 
 
+# ---- records, functions in SQL and the rest
+
+
+@query(rf"WITH {_P} SELECT page_id, url, len(list_distinct(list_filter(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1), lambda x: x <> ''))) AS n_links, nullif({_clean(_decode(_H1))}, '') AS heading, 1::INT AS h1 FROM p WHERE html LIKE '%<h1>%'")
+def result_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All facets asked for in one row for each page."""
+    made = record.parse_pages(pages(spark, sf_dir), "links", "meta", "headings", "heading_counts", "text", "structured_data", "forms", "fields", "hydration")
+    return made.select("page_id", "url", F.size("links").cast("bigint").alias("n_links"), F.try_element_at("headings", F.lit(1))["text"].alias("heading"), F.element_at("heading_counts", 1).alias("h1"))
+
+
+@query(rf"WITH {_P}, t AS (SELECT page_id, {_VISIBLE} AS content FROM p) SELECT page_id, length(content) < 200 AS app_shell FROM t")
+def app_shell_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facets.visible_text(page_tokens(spark, sf_dir)).select("page_id", (F.col("length") < 200).alias("app_shell"))
+
+
+@query(rf"WITH {_L} SELECT {_site(_HOST('url'))} AS site, count(*) AS n, count_if(regexp_matches(regexp_replace(url, '[?#].*$', ''), '(?i)\.(?:{_EXT})$')) AS n_resources FROM l WHERE url LIKE 'http%' GROUP BY 1")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered functions inside SQL."""
+    register.register(spark)
+    return spark.sql("SELECT site_of(regexp_extract(url, '^https?://([^/?#:]*)', 1)) AS site, count(*) AS n, count_if(is_resource(url)) AS n_resources FROM {links} WHERE url LIKE 'http%' AND special_protocol(url) IS NULL GROUP BY 1", links=_stored_links(spark, sf_dir))
+
+
+@query("SELECT p_partkey, p_partkey % 5 = 0 OR p_partkey % 5 = 1 OR p_partkey % 5 = 2 AS hides FROM part")
+def hides_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select((F.col("p_size")).cast("bigint").alias("page_id"), "p_partkey")
+    k = F.col("p_partkey") % 5
+    mark = F.when(k == 0, ' hidden').when(k == 1, ' aria-hidden="true"').when(k == 2, ' style="a:b;visibility:hidden"').when(k == 3, ' aria-hidden="true" role="main"').otherwise("")
+    nodes = elements(tokenize(rendered(rows, "p_partkey", F.concat(F.lit('<div id="'), "p_partkey", F.lit('"'), mark, F.lit("></div>"))))).where("tag = 'div'")
+    return nodes.select(F.col("attrs")["id"].cast("bigint").alias("p_partkey"), facets.hides_content(F.col("tag"), F.col("attrs")).alias("hides"))
+
+
+def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet for each part with variables that lead to another and an import."""
+    key = F.col("p_partkey").cast("string")
+    text_ = F.concat(F.lit("@import url(x"), key, F.lit(".css);.q{--a:1}@media print{:root{--a:2}}:root{--a:var(--b);--b:var(--c, "), key, F.lit("px);--l:var(--l)}p{width:calc(var(--a) + var(--l, 3px))}@font-face{font-family:'F"), key, F.lit("';src:url(a);src:url(b)}@font-face{src:url(c)}"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sheet_id"), F.lit(0).alias("seq"), text_.alias("css"), F.lit("s").alias("origin"), F.lit(None).cast("string").alias("element"))
+
+
+@query("SELECT p_partkey AS sheet_id, unnest(['--a', '--b', '--l']) AS name, unnest(['var(--b)', 'var(--c, ' || p_partkey || 'px)', 'var(--l)']) AS value FROM part")
+def root_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return css.root_values(css.declarations(_chains(spark, sf_dir)))
+
+
+@query("SELECT p_partkey AS sheet_id, 'calc(' || p_partkey || 'px + )' AS resolved FROM part")
+def resolve_var(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decls = css.declarations(_chains(spark, sf_dir))
+    return css.resolve(decls.where("property = 'width'"), css.root_values(decls)).select("sheet_id", "resolved")
+
+
+@query("SELECT p_partkey AS sheet_id, 'x' || p_partkey || '.css' AS import FROM part")
+def css_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return css.imports(_chains(spark, sf_dir)).select("sheet_id", "import")
+
+
+@query("SELECT p_partkey AS sheet_id, 'F' || p_partkey AS family, 'url(b)' AS src FROM part")
+def font_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return css.font_faces(css.declarations(_chains(spark, sf_dir))).select("sheet_id", "family", "src")
+
+
+@query("SELECT p_partkey, round(abs(116 * (CASE WHEN y > 216.0/24389 THEN cbrt(y) ELSE (24389.0/27*y+16)/116 END) - 16), 3) AS distance FROM (SELECT p_partkey, CASE WHEN p_size/255 <= 0.04045 THEN p_size/255/12.92 ELSE pow((p_size/255+0.055)/1.055, 2.4) END AS y FROM part)")
+def color_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of greys to black, which is their lightness."""
+    grey = F.concat(F.lit("rgb("), F.concat_ws(",", "p_size", "p_size", "p_size"), F.lit(")"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(colors.color_distance(colors.parse_color(grey), colors.parse_color(F.lit("black"))), 3).alias("distance"))
+
+
+@query("SELECT event_id AS page_id, 'A' AS component, (event_id % 2 = 0) AS server_rendered, length(replace(replace(props, '&', '&amp;'), '\"', '&quot;'))::INT AS props_bytes FROM events WHERE props NOT LIKE '%<%' AND props NOT LIKE '%''%'")
+def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").where("props NOT LIKE '%<%' AND props NOT LIKE '%''%'").select(F.col("event_id").alias("page_id"), "props", F.lit(0).alias("o"))
+    html = F.concat(F.lit('<astro-island client="load" component-url="/_astro/A?x" props="'), esc("props"), F.when(F.col("page_id") % 2 == 1, '" ssr').otherwise('"'), F.lit("></astro-island>"))
+    return jsonld.islands(tokenize(rendered(rows, "o", html))).select("page_id", "component", "server_rendered", "props_bytes")
+
+
+@query(rf"WITH {_P} SELECT page_id, md5(html) AS digest FROM p")
+def clean_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes and ids put into the stored pages go away again."""
+    made = pages(spark, sf_dir).select("page_id", "url", F.replace(F.replace("html", F.lit("<article>"), F.lit('<article class="x y" id=z>')), F.lit("<ul>"), F.lit("<ul CLASS='k'>")).alias("html"))
+    return clean.clean_pages(made, classes=True, ids=True).select("page_id", F.md5("html").alias("digest"))
+
+
+@query(rf"WITH {_P} SELECT page_id, md5(regexp_extract(html, '(?s)(<article>.*</article>)', 1)) AS digest FROM p WHERE html LIKE '%</article>%'")
+def clean_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = clean.clean_pages(pages(spark, sf_dir).where("html LIKE '%</article>%'"), context="article")
+    return made.select("page_id", F.md5(F.regexp_extract("html", "(?s)(<article>.*</article>)", 1)).alias("digest"))
+
+
 def queries() -> dict[str, Query]:
     return QUERIES | nested.QUERIES
 
