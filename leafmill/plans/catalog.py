@@ -650,7 +650,7 @@ def markdown_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def result_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All facets asked for in one row for each page."""
     made = record.parse_pages(pages(spark, sf_dir), "links", "meta", "headings", "heading_counts", "text", "structured_data", "forms", "fields", "hydration")
-    return made.select("page_id", "url", F.size("links").cast("bigint").alias("n_links"), F.try_element_at("headings", F.lit(1))["text"].alias("heading"), F.element_at("heading_counts", 1).alias("h1"))
+    return made.select("page_id", "url", F.coalesce(F.size("links"), F.lit(0)).cast("bigint").alias("n_links"), F.try_element_at("headings", F.lit(1))["text"].alias("heading"), F.element_at("heading_counts", 1).alias("h1"))
 
 
 @query(rf"WITH {_P}, t AS (SELECT page_id, {_VISIBLE} AS content FROM p) SELECT page_id, length(content) < 200 AS app_shell FROM t")
