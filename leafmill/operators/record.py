@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.core import materialize
 from leafmill.operators import facets, forms, jsonld
 from leafmill.operators.tokenizer import tokenize
 
@@ -51,7 +52,7 @@ def parse_pages(pages: DataFrame, *wanted: str, context: str | None = None) -> D
     unknown = set(wanted) - set(FACETS)
     if unknown:
         raise ValueError(f"unknown facets: {sorted(unknown)}")
-    tokens = tokenize(pages)
+    tokens = materialize(tokenize(pages), "events")  # every facet reads them
     inside = facets.in_context(tokens, context)
     limited = {"links", "images", "headings", "heading_counts", "text", "forms", "fields", "buttons"}
     out = pages.select("page_id", "url")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.core import table
+from leafmill.core import materialize, table
 from leafmill.functions import colors, register, text, urls
 from leafmill.operators import clean, css, facets, forms, jsonld, markdown, nested, record, selectors
 from leafmill.operators.tokenizer import elements, tokenize
@@ -44,6 +44,11 @@ def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize(pages(spark, sf_dir))
 
 
+def kept_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written once, for queries that join them with themselves and would tokenise several times otherwise."""
+    return materialize(page_tokens(spark, sf_dir), "events")
+
+
 def esc(c: Column | str) -> Column:
     out = F.col(c) if isinstance(c, str) else c
     for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
@@ -151,22 +156,22 @@ def header_charset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_A + f"SELECT page_id, url, arg_min(text, k) AS text, count(*)::INT AS link_count, {_kind('url', 'any_value(page_url)')} AS kind FROM l WHERE url <> '' GROUP BY page_id, url")
 def links_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.links(page_tokens(spark, sf_dir)).select("page_id", "url", "text", "link_count", "kind")
+    return facets.links(kept_tokens(spark, sf_dir)).select("page_id", "url", "text", "link_count", "kind")
 
 
 @query(_A + f", d AS (SELECT page_id, url, {_kind('url', 'any_value(page_url)')} AS kind FROM l WHERE url <> '' GROUP BY page_id, url) SELECT kind, count(*) AS n FROM d GROUP BY kind")
 def links_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.links(page_tokens(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
+    return facets.links(kept_tokens(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(_A + f", d AS (SELECT page_id, url, {_kind('url', 'any_value(page_url)')} AS kind FROM l WHERE url <> '' GROUP BY page_id, url) SELECT page_id, url FROM d WHERE kind = 'external' AND NOT regexp_matches(regexp_replace(url, '[?#].*$', ''), '(?i)\\.(?:{_EXT})$')")
 def link_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.links(page_tokens(spark, sf_dir), ["external"], resources=False).select("page_id", "url")
+    return facets.links(kept_tokens(spark, sf_dir), ["external"], resources=False).select("page_id", "url")
 
 
 @query(_A + ", d AS (SELECT page_id, url, count(*) AS n, min(k) AS first FROM l WHERE url <> '' GROUP BY page_id, url) SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, first)::INT AS place FROM d")
 def link_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.links(page_tokens(spark, sf_dir)).select("page_id", "url", "place")
+    return facets.links(kept_tokens(spark, sf_dir)).select("page_id", "url", "place")
 
 
 def _stored_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,7 +379,7 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _selected(spark: SparkSession, sf_dir: str, selector: str) -> DataFrame:
-    return selectors.match(elements(page_tokens(spark, sf_dir)), selector).groupBy("page_id").agg(F.count("*").alias("n"))
+    return selectors.match(elements(kept_tokens(spark, sf_dir)), selector).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
 @query(rf"WITH {_P} SELECT page_id, len(regexp_extract_all(html, '<p>'))::BIGINT AS n FROM p WHERE html LIKE '%<p>%'")
@@ -414,12 +419,12 @@ def sel_descendant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"WITH {_P} SELECT page_id, 1::INT AS level, {_clean(_decode(_H1))} AS text FROM p WHERE {_clean(_decode(_H1))} <> ''")
 def context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.headings(facets.in_context(page_tokens(spark, sf_dir), "article")).select("page_id", "level", "text")
+    return facets.headings(facets.in_context(kept_tokens(spark, sf_dir), "article")).select("page_id", "level", "text")
 
 
 @query(rf"WITH {_P} SELECT page_id, 'head' AS key, 'h1' AS tag, {_clean(_decode(_H1))} AS text FROM p WHERE html LIKE '%<h1>%'")
 def select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.select(page_tokens(spark, sf_dir), {"head": "article h1", "none": ".missing"}).select("page_id", "key", "tag", "text")
+    return facets.select(kept_tokens(spark, sf_dir), {"head": "article h1", "none": ".missing"}).select("page_id", "key", "tag", "text")
 
 
 # ---- hidden content, positions, head
