@@ -8,7 +8,6 @@ that an expensive Python stage that feeds several consumers runs once.
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -24,20 +23,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate results: the session's ``spark.checkpoint.dir``; a temporary one only where unset."""
+    """The folder for intermediate results: the session's ``spark.checkpoint.dir``; a temporary one only where unset on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="leafmill-"))
         atexit.register(shutil.rmtree, _OWN[0], True)
     return "file://" + _OWN[0]
 
 
-def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of it. Rows and column types stay as they are."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/leafmill/{label}-{uuid.uuid4().hex[:12]}"
-    writer = df.write.option("compression", "zstd" if os.environ.get("LEAFMILL_ZSTD") else "snappy")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
