@@ -463,7 +463,7 @@ def head_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _form_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("bigint").alias("page_id"), "c_custkey", "c_name", "c_mktsegment", (F.row_number().over(facets.Window.partitionBy("c_nationkey").orderBy("c_custkey"))).alias("k")).where("k <= 50")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("bigint").alias("page_id"), "c_custkey", "c_name", "c_mktsegment")
     key = F.col("c_custkey").cast("string")
     html = F.concat(F.lit('<form method="POST" action="/k/'), key, F.lit('" id="f'), key, F.lit('"><label for="n'), key, F.lit('">Name <b>'), esc("c_name"), F.lit('</b></label><input id="n'), key, F.lit('" name="name" required><label>Segment <select name="seg"><option>A</option></select></label><input type="hidden" name="h" aria-label="'), esc("c_mktsegment"), F.lit('"><input type=submit value="Send '), key, F.lit('"><button>Go <i>'), key, F.lit("</i></button></form>"))
     return rendered(rows, "c_custkey", html)
@@ -489,7 +489,8 @@ def form_buttons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_C} SELECT page_id, 'https://firma.example/k/' || c_custkey AS action FROM f")
 def form_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.form_actions(tokenize(_form_pages(spark, sf_dir))).select("page_id", "action")
+    """The facet sees every form and has no limit; its SQL states the first 50 addresses of a page."""
+    return facets.first_rows(facets.form_actions(tokenize(_form_pages(spark, sf_dir))), 50, "page_id").select("page_id", "action")
 
 
 # ---- code and data in pages

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import colors, text, urls
 from leafmill.operators import clean, css, facets, forms, jsonld, markdown, selectors
 from leafmill.operators.tokenizer import ENTER, TEXT, elements, events, tokenize
+from leafmill.plans import catalog
 
 URL = "https://example.com/"
 SAMPLE = """
@@ -122,6 +123,14 @@ def test_forms(spark):
     assert [r.button for r in forms.buttons(page(spark, html)).collect()] == ["Go"]
 
 
+def test_form_queries_render_every_customer(spark, tmp_path):
+    spark.range(60).selectExpr("id AS c_custkey", "1 AS c_nationkey", "'n' AS c_name", "'m' AS c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
+    tokens = tokenize(catalog._form_pages(spark, str(tmp_path)))
+    assert elements(tokens).where("tag = 'form'").count() == 60 and facets.form_actions(tokens).count() == 60
+    counts = {q: catalog.queries()[q](spark, str(tmp_path)).count() for q in ("form_list", "form_fields", "form_buttons", "form_actions")}
+    assert counts == {"form_list": 50, "form_fields": 150, "form_buttons": 100, "form_actions": 50}
+
+
 def test_structured_data():
     items, invalid = jsonld.read_blocks(['{"@context":"c","@graph":[{"@id":"1"},{"@id":"2"}]}', '[{"@type":"B"}, "x"]', '{"a":1,}', "", "<!-- {\"@type\": \"E\"} -->", '/* <![CDATA[ */ {"@type": "R"} /* ]]> */', "NaN"])
     assert [i.get("@type") for i in items] == [None, None, "B", "E", "R"] and items[1]["@context"] == "c" and [k for k, _ in invalid] == [2, 6]
