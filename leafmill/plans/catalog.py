@@ -530,7 +530,7 @@ SQL["style_blocks"] = SQL["style_blocks"].replace("{{", "{").replace("}}", "}")
 
 
 def _data_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 1000).alias("page_id"), "o_orderkey", "o_orderstatus", (F.row_number().over(facets.Window.partitionBy(F.col("o_orderkey") % 1000).orderBy("o_orderkey"))).alias("k")).where("k <= 50")
+    rows = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 1000).alias("page_id"), "o_orderkey", "o_orderstatus", (F.row_number().over(facets.Window.partitionBy(F.col("o_orderkey") % 1000).orderBy("o_orderkey"))).alias("k"))
     body = F.when(F.col("k") % 3 == 0, F.lit('{"broken":,}')).otherwise(F.concat(F.lit('{"@context":"c","@graph":[{"@type":"Order","n":'), F.col("o_orderkey").cast("string"), F.lit('},[{"@type":"X"}],5]}')))
     return rendered(rows, "o_orderkey", F.concat(F.lit('<script type="Application/LD+JSON; charset=utf-8"><!-- '), body, F.lit(" --></script>")))
 

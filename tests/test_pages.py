@@ -136,6 +136,12 @@ def test_structured_data():
     assert [i.get("@type") for i in items] == [None, None, "B", "E", "R"] and items[1]["@context"] == "c" and [k for k, _ in invalid] == [2, 6]
 
 
+def test_jsonld_queries_render_every_order(spark, tmp_path):
+    spark.range(60).selectExpr("1000 * id AS o_orderkey", "'O' AS o_orderstatus").write.parquet(str(tmp_path / "orders.parquet"))
+    assert elements(tokenize(catalog._data_pages(spark, str(tmp_path)))).where("tag = 'script'").count() == 60
+    assert {q: catalog.queries()[q](spark, str(tmp_path)).count() for q in ("jsonld_items", "jsonld_invalid")} == {"jsonld_items": 68, "jsonld_invalid": 16}
+
+
 def test_colours(spark):
     cases = {"#abc": "#aabbcc", "RED": "#ff0000", "rgb(1,2,3)": "#010203", "rgb(100% 0% 0% / 50%)": "#ff0000", "hsl(120deg 100% 50%)": "#00ff00", "hsl(0.5turn, 100%, 50%)": "#00ffff", "oklch(1 0 0)": "#ffffff", "var(--x)": None, "12px": None, "rgb(from red r g b)": None, "#12": None}
     rows = spark.createDataFrame(list(cases), "string").select("value", colors.to_hex(colors.parse_color("value")).alias("hex")).collect()
