@@ -9,7 +9,8 @@
    then UTF-8 or another encoding; the result counts if its pairs are clearly more probable. This repeats for text that
    was garbled more than once. A replacement character (U+FFFD) is a wrong decoding that cannot be restored.
 
-Cases: null and empty texts are never found; repeated rows count in the statistics and give a row each; a corpus of any
+Cases: null and empty texts are never found; a text counts once in the statistics, however many rows have it; texts whose
+spans of characters beyond ASCII are UTF-8 throughout are found without an improbable pair too; repeated rows are found once; a corpus of any
 size works, with fewer pairs known the UTF-8 test, which checks itself, still holds; very long texts are scored in full.
 """
 
@@ -287,7 +288,7 @@ def restore(text: str, model: PairModel, spans: list[tuple[int, int]] | None = N
         spans = runs(np.clip(model.threshold - model.scores(_symbols(text)), -6, 6))
     areas = _spread(text, spans)
     if not areas:
-        return None
+        return _whole_utf8(text, model, rounds)
     before, best, gain = model.badness(text), None, -LOSS_SURE
 
     def offer(candidate: str | None, kind: int) -> None:
@@ -328,7 +329,37 @@ def restore(text: str, model: PairModel, spans: list[tuple[int, int]] | None = N
     if best is None and before >= max(GAIN, GAIN_EACH * wide):
         ranked = [(left, c) for c, left in _reread_all(text, model) if before - left >= max(GAIN, GAIN_EACH * wide) and left <= LEFT * before]
         best = min(ranked)[1] if ranked else None
-    return best
+    return best if best is not None else _whole_utf8(text, model, rounds)
+
+
+#: A single character between plain ones is no UTF-8 sequence that was read wrongly.
+_WIDE = re.compile(r"[^\x00-\x7F]{2,}")
+
+
+def _whole_utf8(text: str, model: PairModel, rounds: int) -> str | None:
+    """``text`` decoded where all its spans beyond ASCII are UTF-8 to the last character, whatever their pairs score.
+
+    Nothing but UTF-8 comes out even like this, so no improbable pair is asked for; a single character in place of letters
+    only is too little to tell, but for box drawings, which no text has.
+    """
+    spans = _WIDE.findall(text)
+    if not spans:
+        return None
+    recased, found = text in (text.lower(), text.upper()), []
+    for encoding in SINGLE:
+        shape = _utf8_shape(encoding, recased)
+        if not all(shape.match(s) for s in spans):
+            continue
+        pairs = [_utf8_inside(s, encoding, recased, model.known) for s in spans]
+        new = "".join(piece for piece, _ in pairs)
+        whole = all(len(piece.encode("utf-8", "surrogatepass")) == len(s) for s, (piece, _) in zip(spans, pairs, strict=True))
+        if whole and (len(new) > 1 or "\u2500" <= spans[0][0] <= "\u259f" or spans[0][0].isalpha() and not any(c.isalpha() for c in spans[0][1:])) and _known(new, model):
+            pieces = iter(pairs)
+            candidate = _WIDE.sub(lambda _: next(pieces)[0], text)  # noqa: B023
+            candidate = restore(candidate, model, None, rounds - 1) or candidate
+            found.append((model.badness(candidate), candidate))
+    best = min(found, default=None)
+    return best[1] if best and best[0] <= model.badness(text) + LOSS_SURE else None
 
 
 @lru_cache(1)
@@ -455,7 +486,7 @@ def judge_all(texts: list[str], model: PairModel, into: dict[str, tuple[bool, st
     odd = np.concatenate([[0], np.cumsum(scores < model.threshold)])
     for t, s, n in zip(texts, starts.tolist(), lengths.tolist(), strict=True):
         restored = None
-        if (n > 1 and odd[s + n - 1] > odd[s]) or "&#" in t:
+        if (n > 1 and odd[s + n - 1] > odd[s]) or "&#" in t or not t.isascii():
             restored = restore(t, model, runs(np.clip(model.threshold - scores[s : s + n - 1], -6, 6)) if n > 1 else []) if n <= 2 * STRETCH else restore_all(t, model)
         into[t] = (restored is not None or "�" in t, restored)
 
@@ -471,7 +502,12 @@ def detect(records: DataFrame, model: PairModel) -> DataFrame:
     return odd.mapInArrow(run, "field string, rec_id bigint, text string, restored string")
 
 
+def distinct_texts(records: DataFrame) -> DataFrame:
+    """Every text once, so that copies of a garbled one cannot make its pairs probable."""
+    return records.where("text <> ''").select("text").distinct()
+
+
 def garbled(records: DataFrame) -> DataFrame:
     """All garbled rows of ``records(field, rec_id, text)``, each key and text once."""
-    model = fit(records.where("text <> ''").select("text"))
+    model = fit(distinct_texts(records))
     return detect(records, model).dropDuplicates(["field", "rec_id", "text"])

@@ -153,6 +153,22 @@ def test_right_texts_stay(model):
     assert not [t for t in texts if known[t][0]]
 
 
+@pytest.mark.parametrize(("bad", "good"), [("Alle BrÃ¶tchen", "Alle Brötchen"), ("GrÃ¶ÃŸentabelle", "Größentabelle")])
+def test_copies_of_a_garbled_text_are_found(spark, bad, good):
+    texts = [f"{g} {k}" for k in range(20) for g in GOOD] + [bad] * 400
+    df = spark.createDataFrame([("f", k, t) for k, t in enumerate(texts)], "field string, rec_id bigint, text string")
+    got = mojibake.garbled(df).collect()
+    assert len(got) == 400 and {r.restored for r in got} == {good}
+
+
+def test_whole_utf8_needs_no_improbable_pair(model):
+    model = mojibake.PairModel(np.ones(mojibake.BUCKETS, np.int64), np.ones(mojibake.CHARS, np.int64), model.known)
+    for bad, good in (("Alle BrÃ¶tchen", "Alle Brötchen"), ("GrÃ¶ÃŸentabelle", "Größentabelle"), ("FrÃ¼her – Übersicht", "Früher – Übersicht"), ("Br├Âtchen", "Brötchen")):
+        assert mojibake.restore(bad, model, []) == good
+    for text in ("ГОСТ «МИР»", "Müller – Öl", "Größe", "—école"):
+        assert mojibake.restore(text, model, []) is None
+
+
 def test_runs_are_maximal_segments():
     assert mojibake.runs(np.array([-1.0, 2, -1, 3, -5, 1])) == [(1, 4), (5, 6)] and mojibake.runs(np.zeros(0)) == [] and mojibake.runs(np.array([-1.0])) == []
 
