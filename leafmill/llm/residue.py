@@ -12,7 +12,8 @@
 
 Cases: null, empty and blank texts are no residue (there is nothing in place of the content); a repeated row is found
 once for its key; very long texts are looked through whole; an empty table gives no rows; a message cut short counts if
-it begins a known message and is cut inside or after at least half of it.
+it begins a known message and is cut inside or after at least half of it; an open message may go on at any length; if
+more than twelve tokens follow, none of them may be a word of texts that speak about it (guide, tutorial, ...).
 """
 
 from __future__ import annotations
@@ -80,6 +81,8 @@ _LOREM_SURE = set("lorem ipsum dolor amet consectetur consectetuer adipiscing el
 NAMES = "title name city town brand category description headline heading company product price text label item link url page site shop store user customer firstname lastname subject keyword keywords body content summary author date year tag tags location country region street phone email slug h1 h2 metadescription seotitle pagetitle sitename shopname productname".split()
 # Words by which a text with a slot shows that it speaks about templates.
 ABOUT = set("template templates vorlage vorlagen engine engines tutorial syntax filling fill ausfüllen placeholders platzhaltern plantillas plantilla modèles gabarits шаблоны шаблон πρότυπα テンプレート".split())
+# Words by which a text that begins like an open notice shows that it speaks about its subject.
+SPEAKS = set("guide guides tutorial tutorials explained beginners leitfaden ratgeber anfänger tutoriel principiantes guía guia руководство οδηγός".split())
 
 _ID = r"[^\W\d]\w*(?:[.\-][^\W\d]\w*)*"
 _KEY = rf"(?:{_ID}|\d{{1,2}})"
@@ -158,7 +161,7 @@ def _patterns() -> dict[str, list[tuple[tuple[str, ...], str]]]:
 def vocabulary() -> frozenset[str]:
     """Words that verdicts depend on; they never become wildcards."""
     words = {w for group in _patterns().values() for p, _ in group for w in p}
-    return frozenset(words | set(LOREM) | ABOUT | {"<num>", "<slot>", "<site>", "info"})
+    return frozenset(words | set(LOREM) | ABOUT | SPEAKS | {"<num>", "<slot>", "<site>", "info"})
 
 
 @lru_cache(1)
@@ -214,7 +217,7 @@ def _matches(tokens: list[str], cut: bool) -> str | None:
         fixed = words[:-1] if open_end else words
         n = len(fixed)
         if all(a == b or b == "*" for a, b in zip(tokens, fixed, strict=False)):
-            if len(tokens) == n or open_end and n <= len(tokens) <= n + 12:
+            if len(tokens) == n or open_end and len(tokens) > n and (len(tokens) <= n + 12 or not SPEAKS.intersection(tokens[n:])):
                 return kind
             if len(tokens) < n and (cut or len(tokens) * 2 > n) and len(tokens) >= 2 and len(" ".join(tokens)) >= 8:
                 return kind

@@ -111,6 +111,12 @@ def test_no_residue(text):
     assert verdict(text) is None
 
 
+def test_open_notices_of_any_length():
+    text = "Please enable JavaScript to continue using this application and reload the page after you have changed the settings of your browser"
+    assert verdict(text) == verdict(text + " " + text) == "notice"
+    assert verdict("Enable JavaScript in every browser: a guide for beginners that shows each of the settings with pictures and words") is None
+
+
 def test_residue_table_edges(spark):
     rows = [("f", 1, "404 Not Found", "t"), ("f", 1, "404 Not Found", "t"), ("f", 2, None, "t"), ("f", 3, "", "t"), ("f", 4, "  ", "t"), ("f", 5, "Good " * 50_000, "t"), ("f", None, "{{x}}", "t"), ("f", 6, "Lamps", "t")]
     df = spark.createDataFrame(rows, "field string, rec_id bigint, text string, template string")
