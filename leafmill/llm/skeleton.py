@@ -30,6 +30,8 @@ LOOKALIKES = {
 }
 #: Pairs of the list above whose drawings differ clearly in ordinary type; they stay apart.
 APART = set("гᴦкκτγιχυϒɩՍᑌγβ‚ʽƨϜ")
+#: Tags and further variation selectors, the characters without ink above the planes that the table goes through.
+INKLESS = (*range(0xE0001, 0xE0080), *range(0xE0100, 0xE01F0))
 _KEPT = {"<wide>", "<narrow>", "<noBreak>", "<font>", "<compat>"}
 # Compatibility forms that look different from what they decompose to.
 _DIFFERENT = set("ſℓ℮ϐϑϕϖϰϱϴϵϒ")
@@ -39,12 +41,12 @@ _DIFFERENT = set("ſℓ℮ϐϑϕϖϰϱϴϵϒ")
 def prototypes() -> dict[int, str | None]:
     """Character code to prototype (None: no ink), from the character database and the list above."""
     table: dict[int, str | None] = {}
-    for code in range(0x20000):
+    for code in (*range(0x20000), *INKLESS):
         ch = chr(code)
         kind = unicodedata.category(ch)
         if kind == "Zs" or ch in "\t\n\x0b\x0c\r\u0085  ":
             table[code] = " "
-        elif kind in ("Cf", "Cc") or 0xFE00 <= code <= 0xFE0F or ch in "͏ᅟᅠ឴឵ㅤﾠ" or 0x180B <= code <= 0x180F:
+        elif kind in ("Cf", "Cc") or 0xFE00 <= code <= 0xFE0F or code in INKLESS or ch in "͏ᅟᅠ឴឵ㅤﾠ" or 0x180B <= code <= 0x180F:
             table[code] = None
         else:
             parts = unicodedata.decomposition(ch)

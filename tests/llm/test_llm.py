@@ -58,6 +58,11 @@ def test_other_look(other):
     assert skeleton.skeleton(other) != skeleton.skeleton("Käse 1")
 
 
+@pytest.mark.parametrize("code", [0xE0001, 0xE0041, 0xE007F, 0xE0100, 0xE01EF])
+def test_no_ink_above_the_first_planes(code):
+    assert skeleton.skeleton(f"Kä{chr(code)}se 1") == skeleton.skeleton("Käse 1")
+
+
 def test_skeleton_keeps_itself():
     for code in range(0x20, 0x3000):
         form = skeleton.skeleton("x" + chr(code) + "x") if unicodedata.category(chr(code)) != "Cn" else ""
