@@ -1,10 +1,9 @@
 """Template residue, filler, error pages and script notices among titles, descriptions and link texts.
 
 1. Every text becomes a message: folded (compatibility forms, case, invisible characters), stripped of decoration, with
-   numbers, site names, filler words and unresolved slots as classes. Messages walk a prefix tree of fixed depth: first
-   their length, then their leading tokens; tokens that no verdict depends on become wildcards, so the leaf and the rest
-   of the message are the template. The walk depends on the text and the site names only, so all tasks grow the same
-   tree without talking to each other, and the tree's size is that of the vocabulary, not of the corpus.
+   numbers, site names, filler words and unresolved slots as classes. Tokens that no verdict depends on become wildcards;
+   what is left, with the length, is the template. It depends on the text and the site names only: nothing is mined from
+   the corpus, and a template is judged by listed phrases.
 2. Each template is classified once, however many records have it.
 3. Verdicts go back to the records by template id.
 4. Independently, slots that were never filled in are looked for inside ordinary records; a text that speaks about
