@@ -273,8 +273,8 @@ def test_leaks_equal_brute_force(spark):
     for i, ws in words_of(spark.createDataFrame(items, "item_id bigint, text string, term string")).items():
         for k, dw in d.items():
             if ws and dw and k != 502:
-                doc = dict(enumerate(code(dw)))
-                if leakage.longest_run(doc, code(ws)) >= 10 or leakage.distance_inside(doc, code(ws)) <= len(ws) // 6:
+                doc, item = np.array(code(dw)), np.array(code(ws))
+                if leakage.longest_run(doc, item) >= 10 or leakage.distance_inside(doc, item) <= len(ws) // 6:
                     want.add((k, i))
     assert {g for g in got if g[0] != 502} == want and len(want) > 40
 
@@ -286,8 +286,17 @@ def test_leaks_edges(spark):
 
 
 def test_distance_and_run():
-    doc = dict(enumerate([9, 1, 2, 3, 4, 5, 9, 9]))
-    assert leakage.longest_run(doc, (1, 2, 3, 7)) == 3 and leakage.distance_inside(doc, (1, 2, 4, 5)) == 1 and leakage.distance_inside(doc, (1, 2, 8, 3)) == 1 and leakage.distance_inside({5: 1}, (1, 2)) == 1
+    doc = np.array([9, 1, 2, 3, 4, 5, 9, 9])
+    for item, run, edits in (((1, 2, 3, 7), 3, 1), ((1, 2, 4, 5), 2, 1), ((1, 2, 8, 3), 2, 1)):
+        assert leakage.longest_run(doc, np.array(item)) == run and leakage.distance_inside(doc, np.array(item)) == edits
+    assert leakage.distance_inside(np.array([1]), np.array([1, 2])) == 1
+
+
+def test_leaks_in_blocks_equal_leaks_at_once(spark):
+    items = spark.createDataFrame([(k, " ".join(f"w{(k * 7 + j) % 40}" for j in range(5 + k % 15))) for k in range(40)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * 3 + j) % 40}" for j in range(k))) for k in range(80)], "doc_id bigint, text string")
+    whole, blocks = ({tuple(r) for r in leakage.leaks(docs, items, most).collect()} for most in (10**6, 40))
+    assert whole == blocks and len(whole) > 100
 
 
 # ---- 8 subjects
