@@ -238,7 +238,7 @@ def store(corpus: DataFrame, vocabulary: list[str]) -> DataFrame:
             made = pa.RecordBatch.from_arrays([batch.column(0), *lists], ["doc_id", "terms", "positions"])
             yield made.filter(pa.array(np.diff(ends) > 0))
 
-    return materialize(corpus.where("size(words) > 0").mapInArrow(run, _POSTINGS), "p7-postings")
+    return materialize(corpus.mapInArrow(run, _POSTINGS), "p7-postings")
 
 
 def _search(items: Items):
