@@ -39,19 +39,23 @@ def _mined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(residue.mine(records, residue.site_names(table(spark, sf_dir, "sites"))), "p3-mined")
 
 
+def _residue(mined: DataFrame) -> DataFrame:
+    grown = materialize(residue.grow(mined), "p3-grown")
+    return residue.residue(mined, residue.judge(grown, residue.templates(grown)))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mined = _mined(spark, sf_dir)
-    return residue.residue(mined, residue.templates(mined)).select("field", "rec_id")
+    return _residue(_mined(spark, sf_dir)).select("field", "rec_id")
 
 
 def p3_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residue.templates(_mined(spark, sf_dir))
+    return residue.templates(materialize(residue.grow(_mined(spark, sf_dir)), "p3-grown"))
 
 
 def p3_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records that are left when residue is excluded, by field."""
     mined = _mined(spark, sf_dir)
-    kept = mined.join(residue.residue(mined, residue.templates(mined)), ["field", "rec_id"], "left_anti")
+    kept = mined.join(_residue(mined), ["field", "rec_id"], "left_anti")
     return kept.select("field", "rec_id").distinct().groupBy("field").agg(F.count("*").alias("n_records"))
 
 

@@ -90,8 +90,7 @@ SITES = frozenset(("mouettepress", "palnilab"))
 
 
 def verdict(text):
-    form = residue.template(text, SITES)
-    kind = residue.classify(form)
+    kind = residue.classify(residue.message(text, SITES))
     return None if kind == "about" else "slot" if residue.slots(residue.fold(text)) else kind
 
 
@@ -125,11 +124,33 @@ def test_open_notices_of_any_length():
 def test_residue_table_edges(spark):
     rows = [("f", 1, "404 Not Found", "t"), ("f", 1, "404 Not Found", "t"), ("f", 2, None, "t"), ("f", 3, "", "t"), ("f", 4, "  ", "t"), ("f", 5, "Good " * 50_000, "t"), ("f", None, "{{x}}", "t"), ("f", 6, "Lamps", "t")]
     df = spark.createDataFrame(rows, "field string, rec_id bigint, text string, template string")
+    assert found_in(df) == [(0, "slot"), (1, "error")]
+    assert found_in(df.limit(0)) == []
+
+
+def found_in(df):
     mined = residue.mine(df, SITES)
-    got = sorted((r.rec_id or 0, r.kind) for r in residue.residue(mined, residue.templates(mined)).collect())
-    assert got == [(0, "slot"), (1, "error")]
-    empty = residue.mine(df.limit(0), SITES)
-    assert residue.residue(empty, residue.templates(empty)).count() == 0
+    grown = residue.grow(mined)
+    return sorted((r.rec_id or 0, r.kind) for r in residue.residue(mined, residue.judge(grown, residue.templates(grown))).collect())
+
+
+@pytest.mark.parametrize("text", ["The page you are looking for could not be found", "We are down for maintenance", "La page demandée n’existe pas ou n’est plus disponible", "Dieser Inhalt ist leider nicht mehr verfügbar", "Insert your page description here"])
+def test_residue_in_words_of_its_own(text):
+    assert verdict(text) in ("error", "filler")
+
+
+def test_prefix_tree(spark):
+    """Places that vary become wildcards, whatever else stands in the table; what is cut short shares the verdict."""
+    texts = [f"Alle Lampen in {p} ansehen" for p in "Ulm Bonn Trier Jena Kassel Fulda Passau Worms Speyer Hagen Siegen Celle".split()] * 2 + ["Your browser does not support scripts", "Your browser does not supp", "Your browser", "Rare words stand alone once"]
+    df = spark.createDataFrame([("f", k, t, "x") for k, t in enumerate(texts)], "field string, rec_id bigint, text string, tokens string")
+    grown = residue.grow(residue.mine(df, SITES))
+    made = {(r.template.replace("=", ""), r.n_messages, r.n_records) for r in residue.templates(grown).collect()}
+    assert ("alle lampen in <*> ansehen", 12, 24) in made and ("rare words stand alone once", 1, 1) in made
+    assert found_in(df) == [(24, "notice"), (25, "notice")]
+
+
+def test_slots_of_any_length():
+    assert residue.slots("{{ " + "a b " * 100 + "}}") and residue.slots("${name | " + "x" * 500 + "}")
 
 
 # ---- 4 garbled text
