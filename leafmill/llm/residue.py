@@ -160,6 +160,8 @@ NAMES = "title name city town brand category description headline heading compan
 ABOUT = set("template templates vorlage vorlagen placeholders platzhaltern plantillas plantilla modèles gabarits шаблоны шаблон шаблонов πρότυπα テンプレート".split())
 # Words by which a text that begins like an open notice shows that it speaks about its subject.
 SPEAKS = set("guide guides tutorial tutorials explained beginners leitfaden ratgeber anfänger tutoriel principiantes guía guia руководство οδηγός".split())
+# Words that begin a question.
+ASKS = set("does do is are why how what which when should braucht warum wie wann wieso pourquoi comment est cómo por-qué como зачем почему как γιατί πώς".split())
 
 _ID = r"[^\W\d]\w*(?:[.\-][^\W\d]\w*)*"
 _KEY = rf"(?:{_ID}|\d{{1,2}})"
@@ -310,18 +312,18 @@ def _says(tokens: list[str], cut: bool) -> str | None:
     first = frozenset(tokens[:6])
     if any(w <= first for w in lex.reports) and not have & SPEAKS and (have <= lex.common or have & {"at", "in", "line"}):
         return "error"
+    if first & lex.topics and first & lex.demands and first <= lex.words and not have & SPEAKS and tokens[0] not in ASKS:  # may go on
+        return "notice"
     if tokens[-1] not in lex.words or cut and len(tokens[-1]) < 3:  # the last word may be cut
         enough = len(tokens) > 1 and (cut or len(tokens[-1]) > 2) or cut and len(tokens[-1]) >= 6
         found = {_says([*tokens[:-1], w], False) for w in lex.beginnings.get(tokens[-1], ()) if enough} - {None}
         if found or tokens[-1] not in lex.words:
             return min(found, key=("notice", "error", "filler").index, default=None)
-    if first & lex.topics and first & lex.demands and not have & SPEAKS and (have <= lex.words or first <= lex.words):
-        return "notice"
     if not have <= lex.common:
         if sum(t in lex.lorem_sure or t == "<lorem>" for t in tokens) >= 1 and all(t in lex.lorem or t in ("<lorem>", "<num>", "<site>") for t in tokens):
             return "filler" if "<lorem>" in have or len(tokens) > 1 else None
         return None
-    if have & lex.topics and have & lex.demands:
+    if have & lex.topics and have & lex.demands and tokens[0] not in ASKS:
         return "notice"
     if any(w <= have and len(have - w - lex.joining - lex.things) <= 1 for w in lex.waiting):
         return "notice"

@@ -109,7 +109,7 @@ def test_residue(text, kind):
 
 @pytest.mark.parametrize(
     "text",
-    ["Access denied? Ten tips for lost keys in Pallamby", "Fehler 503 verstehen und beheben: ein Leitfaden", "Null Fehler: Qualität in Bingorow", "Placeholder plants for shady corners", "Room 404, second floor", "Sample boxes: Rooms", "[Update] Prüfberichte 1121", "100 % Möbel", "Vorlagen mit ${betrag} richtig ausfüllen", "Guide: filling {{name}} in mail templates", "Template engines compared: <%= %> or {{ }}", "Where the filler words lorem ipsum come from", "JavaScript course for beginners, spring 182", "Page not found? A short history of error pages", "Untitled (Blue), oil on canvas, 1317", "Test reports 12", "Doors (NEW)", "", "Guide des tailles"],
+    ["Access denied? Ten tips for lost keys in Pallamby", "Fehler 503 verstehen und beheben: ein Leitfaden", "Null Fehler: Qualität in Bingorow", "Placeholder plants for shady corners", "Room 404, second floor", "Sample boxes: Rooms", "[Update] Prüfberichte 1121", "100 % Möbel", "Vorlagen mit ${betrag} richtig ausfüllen", "Guide: filling {{name}} in mail templates", "Template engines compared: <%= %> or {{ }}", "Where the filler words lorem ipsum come from", "JavaScript course for beginners, spring 182", "Page not found? A short history of error pages", "Untitled (Blue), oil on canvas, 1317", "Test reports 12", "Doors (NEW)", "", "Guide des tailles", "Does this site need JavaScript? Our view on plain HTML", "Does this site need JavaScript? Our view on plain HTML 2", "アクセス (NEW)", "Your browser"],
 )
 def test_no_residue(text):
     assert verdict(text) is None
