@@ -1,8 +1,8 @@
 """Texts of different length put into containers of fixed capacity with little unused space.
 
-Shortest-pack-first over the length histogram: lengths are placed longest first, always into the fullest group of
-packs that still has room (the one with the shortest rest), and whole counts of packs change group at a time, so the
-work depends on the number of different lengths and not on the number of texts. The result is a list of packing
+Shortest-pack-first over the length histogram: lengths are placed longest first, always into the group of packs that is
+shortest so far, and whole counts of packs change group at a time, so the work depends on the number of different lengths
+and not on the number of texts. The result is a list of packing
 patterns with counts. Texts are then joined back by rank: the k-th text of a length takes the k-th place that the
 patterns have for this length.
 
@@ -17,7 +17,7 @@ gives no rows; a capacity below 1 is an error; ids may be null or repeated (a te
 from __future__ import annotations
 
 import base64
-from bisect import bisect_left, insort
+from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,10 +38,7 @@ def _encoding(path: str):
 
     sys.path.insert(0, path.rsplit("/", 2)[0])
     try:
-        from public_tokenizers import PATTERN
-    except ImportError:
-        # the usual split of byte-level tokenizers into words, numbers and signs
-        PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+        from public_tokenizers import PATTERN  # the files' own description; without it the split is unknown
     finally:
         sys.path.pop(0)
     with open(path, "rb") as lines:
@@ -49,23 +46,9 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-#: Longest stretch handed to the tokenizer at once; stretches end between a sign and a space or line end.
-_STRETCH = 200_000
-
-
 def count_tokens(text: str, encoding) -> int:
-    """Number of tokens of a whole text; very long ones are counted stretch by stretch, divided at white space."""
-    if len(text) <= _STRETCH:
-        return len(encoding.encode_ordinary(text))
-    total, at = 0, 0
-    while at < len(text):
-        end = min(at + _STRETCH, len(text))
-        if end < len(text):
-            cut = max(text.rfind("\n", at + 1, end), text.rfind(" ", at + 1, end))
-            end = cut if cut > at else end
-        total += len(encoding.encode_ordinary(text[at:end]))
-        at = end
-    return total
+    """Number of tokens of a whole text."""
+    return len(encoding.encode_ordinary(text))
 
 
 def with_tokens(documents: DataFrame, path: str = f"{TOKENIZER_DIR}/{TOKENIZER}", key: str = "doc_id") -> DataFrame:
@@ -84,8 +67,8 @@ def with_tokens(documents: DataFrame, path: str = f"{TOKENIZER_DIR}/{TOKENIZER}"
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Packing patterns ((lengths, longest first), how many packs) for a histogram of lengths from 1 to ``capacity``.
 
-    Groups of packs with an equal pattern are kept by free room; a length goes to the group with the least room that
-    still takes it, which may be open for further lengths.
+    Groups of packs with an equal pattern are kept by free room. A length goes to the shortest packs, those with the most
+    room, one text to each; where the length does not fit even there, each text of it opens a pack of its own.
     """
     rooms: list[int] = []  # sorted rooms with open groups
     groups: dict[int, list[tuple[tuple[int, ...], int]]] = {}
@@ -102,19 +85,13 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
-            at = bisect_left(rooms, length)
-            if at == len(rooms):
-                fits = capacity // length  # new packs hold as many of this length as they can
-                if left >= fits:
-                    put(capacity - fits * length, (length,) * fits, left // fits)
-                    left %= fits
-                if left:
-                    put(capacity - left * length, (length,) * left, 1)
+            if not rooms or rooms[-1] < length:
+                put(capacity - length, (length,), left)
                 break
-            room = rooms[at]
+            room = rooms[-1]
             pattern, n = groups[room].pop()
             if not groups[room]:
-                rooms.pop(at)
+                rooms.pop()
             take = min(n, left)
             if n > take:
                 put(room, pattern, n - take)
@@ -137,46 +114,56 @@ def places(histogram: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(out), np.int64).reshape(-1, 3)
 
 
-def _assign(grid: np.ndarray):
-    """Containers of (length, rank) by binary search in the places."""
-    keys = grid[:, 0] << 44 | grid[:, 1]
+def _assign(grids: list[np.ndarray]):
+    """Containers of (pack, length, rank) by binary search in the places of each pack."""
+    known = [np.unique(g[:, 0]) for g in grids]
+    keys = [np.searchsorted(k, g[:, 0]) << 40 | g[:, 1] for k, g in zip(known, grids, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)
-            at = np.searchsorted(keys, length << 44 | rank, side="right") - 1
-            container = np.where(length > 0, grid[np.maximum(at, 0), 2] + rank - grid[np.maximum(at, 0), 1], 0) if len(grid) else np.zeros(len(length), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(container), batch.column(0), batch.column(1), batch.column(2)], ["container_id", "doc_id", "piece", "n_tokens"])
+            pack, length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("pack", "n_tokens", "rank"))
+            container = np.zeros(len(pack), np.int64)
+            for p in np.unique(pack):
+                here = np.flatnonzero((pack == p) & (length > 0))
+                at = np.searchsorted(keys[p], np.searchsorted(known[p], length[here]) << 40 | rank[here], side="right") - 1
+                container[here] = grids[p][at, 2] + rank[here] - grids[p][at, 1]
+            yield pa.RecordBatch.from_arrays([batch.column("pack"), pa.array(container), *(batch.column(c) for c in ("doc_id", "piece", "n_tokens"))], ["pack", "container_id", "doc_id", "piece", "n_tokens"])
 
     return run
 
 
-def pieces(lengths: DataFrame, capacity: int) -> DataFrame:
-    """Rests of all texts and the full pieces of those longer than the capacity: ``(doc_id, piece, n_tokens, part)``."""
-    full = F.floor(F.col("n_tokens") / capacity).cast("int")
-    rest = F.col("n_tokens") - full * capacity
-    marked = lengths.select("doc_id", "part", full.alias("n_full"), rest.alias("rest"))
-    ends = marked.where("rest > 0 OR n_full = 0").select("doc_id", F.col("n_full").alias("piece"), F.col("rest").alias("n_tokens"), "part")
-    whole = marked.where("n_full > 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n_full") - 1)).alias("piece"), F.lit(capacity).cast("bigint").alias("n_tokens"), "part")
+def pieces(lengths: DataFrame, capacities: list[int]) -> DataFrame:
+    """Rests of all texts and the full pieces of those longer than a capacity: ``(pack, doc_id, piece, n_tokens, part)``."""
+    each = lengths.select("doc_id", "part", F.col("n_tokens").cast("bigint").alias("n_tokens"), F.posexplode(F.array(*(F.lit(c).cast("bigint") for c in capacities))).alias("pack", "capacity"))
+    full = F.floor(F.col("n_tokens") / F.col("capacity")).cast("int")
+    marked = each.withColumn("n_full", full).withColumn("rest", F.col("n_tokens") - F.col("n_full") * F.col("capacity"))
+    ends = marked.where("rest > 0 OR n_full = 0").select("pack", "doc_id", F.col("n_full").alias("piece"), F.col("rest").alias("n_tokens"), "part")
+    whole = marked.where("n_full > 0").select("pack", "doc_id", F.explode(F.sequence(F.lit(0), F.col("n_full") - 1)).alias("piece"), F.col("capacity").alias("n_tokens"), "part")
     return ends.unionByName(whole)
 
 
-def pack(lengths: DataFrame, pack_id: int, capacity: int) -> DataFrame:
-    """``(pack_id, container_id, doc_id, piece, n_tokens)``: every text, or piece of one, in its container.
+def pack(lengths: DataFrame, sizes: list[tuple[int, int]]) -> DataFrame:
+    """``(pack_id, container_id, doc_id, piece, n_tokens)``: every text, or piece of one, in its container of each size.
 
-    ``lengths(doc_id, n_tokens, part)`` must be stored, as its partitions are counted first. The histogram has at most
-    ``capacity`` lengths, so the driver's part is bounded whatever the corpus.
+    ``lengths(doc_id, n_tokens, part)`` must be stored, as its partitions are counted first; ``sizes`` are pairs of an id
+    and a capacity. The histogram has at most ``capacity`` lengths for each size, so the driver's part is bounded whatever
+    the corpus.
     """
-    if capacity < 1:
+    if any(c < 1 for _, c in sizes):
         raise ValueError("capacity below 1")
-    spark = lengths.sparkSession
-    items = pieces(lengths, capacity)
-    by_part = items.groupBy("n_tokens", "part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("n_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = by_part.select("n_tokens", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    histogram = {r[0]: r[1] for r in by_part.where("n_tokens > 0").groupBy("n_tokens").agg(F.sum("n")).collect()}
-    inside = Window.partitionBy("n_tokens", "part").orderBy("doc_id", "piece")
-    ranked = items.withColumn("k", F.row_number().over(inside) - 1).join(offsets, ["n_tokens", "part"])
-    keyed = ranked.select("doc_id", "piece", "n_tokens", (F.col("k") + F.col("offset")).alias("rank"))
-    placed = keyed.mapInArrow(_assign(places(histogram, capacity)), "container_id bigint, doc_id bigint, piece int, n_tokens bigint")
-    return placed.select(F.lit(pack_id).alias("pack_id"), "container_id", "doc_id", "piece", "n_tokens")
+    if not sizes:
+        return lengths.sparkSession.createDataFrame([], "pack_id int, container_id bigint, doc_id bigint, piece int, n_tokens bigint")
+    items = pieces(lengths, [c for _, c in sizes])
+    by_part = items.groupBy("pack", "n_tokens", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("pack", "n_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = by_part.select("pack", "n_tokens", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    histograms: list[dict[int, int]] = [{} for _ in sizes]
+    for r in by_part.where("n_tokens > 0").groupBy("pack", "n_tokens").agg(F.sum("n").alias("n")).collect():
+        histograms[r.pack][r.n_tokens] = r.n
+    grids = [places(h, c) for h, (_, c) in zip(histograms, sizes, strict=True)]
+    inside = Window.partitionBy("pack", "n_tokens", "part").orderBy("doc_id", "piece")
+    ranked = items.withColumn("k", F.row_number().over(inside) - 1).join(offsets, ["pack", "n_tokens", "part"])
+    keyed = ranked.select("pack", "doc_id", "piece", "n_tokens", (F.col("k") + F.col("offset")).alias("rank"))
+    placed = keyed.mapInArrow(_assign(grids), "pack int, container_id bigint, doc_id bigint, piece int, n_tokens bigint")
+    names = F.array(*(F.lit(i).cast("int") for i, _ in sizes))
+    return placed.select(F.get(names, F.col("pack")).alias("pack_id"), "container_id", "doc_id", "piece", "n_tokens")

@@ -74,11 +74,8 @@ def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every notebook, or piece of one, in a container of each capacity."""
     lengths = materialize(packing.with_tokens(table(spark, sf_dir, "documents")), "p6-lengths")
-    out = None
-    for row in table(spark, sf_dir, "pack_sizes").orderBy("pack_id").limit(1000).collect():  # a handful by definition
-        packed = packing.pack(lengths, row.pack_id, row.capacity)
-        out = packed if out is None else out.unionByName(packed)
-    return out
+    sizes = table(spark, sf_dir, "pack_sizes").orderBy("pack_id").collect()  # a handful by definition
+    return packing.pack(lengths, [(r.pack_id, r.capacity) for r in sizes])
 
 
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
