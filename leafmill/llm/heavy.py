@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.merge import add_up
+
 LEVELS = (8, 16, 24, 32)
 BLOCK = 1024
 WIDEST = 1 << 20
@@ -148,7 +150,7 @@ def sketch_fields(values: DataFrame, shape: SketchShape | None = None) -> dict[s
     shape = shape or SketchShape()
     hashed = values.where("item_value IS NOT NULL AND field IS NOT NULL").select("field", F.xxhash64("item_value").alias("h"))
     parts = hashed.mapInArrow(_fold(shape), "field string, part int, counters array<bigint>")
-    merged = parts.repartition(min(64, len(LEVELS) * shape.depth), "field", "part").mapInArrow(_merge, parts.schema)
+    merged = add_up(parts, _merge, ["field", "part"], min(64, len(LEVELS) * shape.depth))
     found: dict[str, dict[int, list[int]]] = {}
     for row in merged.collect():  # of fixed size
         found.setdefault(row.field, {})[row.part] = row.counters

@@ -100,7 +100,7 @@ def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _subjects(spark, sf_dir).select("doc_id", "subject")
+    return _subjects(spark, sf_dir).select("doc_id", "subject").distinct()
 
 
 def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,12 @@ from the terms that labelled documents of the subject have more often than other
 other subjects. Further components take what is common to a language or to code. W is row-local and never leaves its
 task; H (fixed size) is updated on the driver from the sums W'X and W'W over all documents, which add up block by block.
 
-The components then give every term's mixture, the terms add up to the mixture of a cell, its strongest subject is the
-cell's if there is evidence enough, and a document has the subjects that hold at least the asked share of its cells.
+With H fixed, every cell gets its own mixture W over the components, by the same updates, with each term counting by what
+part of it is whose. The anchored component that holds most of the mixture is the cell's subject if it holds enough, and a
+document has the subjects that hold at least the asked share of its cells.
 
 Cases: documents without text or code cells, and empty or null texts, have no subject; null languages only lack the
-seed of their language; repeated documents count each time; labels of unknown documents or subjects are ignored; without
+seed of their language; repeated documents count each time and have rows of their own; labels of unknown documents or subjects are ignored; without
 any label the anchored components are empty and nothing is assigned; very long cells are read whole.
 """
 
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.core import materialize
+from leafmill.llm.merge import add_up
 
 COLUMNS = 1 << 15
 ROUNDS = 4
@@ -41,26 +43,34 @@ def terms(text: str) -> list[int]:
     return [crc32(w.encode()) & (COLUMNS - 1) for w in _TERM.findall(_CAMEL.sub(" ", text).lower())]
 
 
-_CELLS = "doc_id bigint, lang string, cell int, kind string, terms array<int>, counts array<int>"
+_CELLS = "doc_id bigint, lang string, kinds array<string>, sizes array<int>, terms array<int>, counts array<int>"
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("cell", pa.int32()), ("kind", pa.string()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+    numbers = pa.list_(pa.int32())
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("kinds", pa.list_(pa.string())), ("sizes", numbers), ("terms", numbers), ("counts", numbers)])
     for batch in batches:
         rows: list[tuple] = []
         for doc, lang, text, kinds, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             text, starts = text or "", starts or []
+            kept, sizes, found, counts = [], [], [], []
             for k, (kind, start) in enumerate(zip(kinds or (), starts, strict=False)):
                 if kind in ("text", "code"):
                     end = starts[k + 1] if k + 1 < len(starts) else len(text)
-                    found, n = np.unique(np.array(terms(text[start:end]), np.int32), return_counts=True)
-                    rows.append((doc, lang, k, kind, found.tolist(), n.tolist()))
+                    t, n = np.unique(np.array(terms(text[start:end]), np.int32), return_counts=True)
+                    kept.append(kind)
+                    sizes.append(len(t))
+                    found.append(t)
+                    counts.append(n)
+            if kept:
+                rows.append((doc, lang, kept, sizes, np.concatenate(found), np.concatenate(counts)))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def cells(documents: DataFrame) -> DataFrame:
-    """The text and code cells of ``documents`` as sparse term counts, one row each, those of a document together."""
+    """The text and code cells of ``documents`` as sparse term counts: a row for each document with the terms of its cells
+    one after the other and how many terms each cell has."""
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text", "cell_types", "cell_starts").mapInArrow(_cells, _CELLS)
 
 
@@ -95,20 +105,21 @@ def _row_sums(values: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.
     return out
 
 
-def _block(batch: pa.RecordBatch, by_document: bool) -> Block:
-    """A batch of cells as sparse rows, one for each cell or one for each document's cells in a row."""
+def _block(batch: pa.RecordBatch, rows: str = "documents") -> Block:
+    """A batch of documents as sparse rows: one for each document, for each document's code cells, or for each cell."""
     ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-    listed = batch.column("terms")
-    offsets = listed.offsets.to_numpy() - listed.offsets[0].as_py()
-    t, n = listed.flatten().to_numpy(), batch.column("counts").flatten().to_numpy()
+    t, n = (batch.column(c).flatten().to_numpy() for c in ("terms", "counts"))
+    sizes = batch.column("sizes").flatten().to_numpy()
     langs = batch.column("lang").to_pylist()
-    if not by_document:
-        return Block(ids, offsets[:-1], t, n, langs)
-    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
-    owner = np.repeat(np.searchsorted(first, np.arange(len(ids)), side="right") - 1, np.diff(offsets))
+    if rows == "cells":
+        return Block(ids, np.cumsum(sizes) - sizes, t, n, langs)
+    owner = np.repeat(np.repeat(np.arange(len(batch)), np.diff(batch.column("sizes").offsets.to_numpy())), sizes)
+    if rows == "code":
+        code = np.repeat(np.array([k == "code" for k in batch.column("kinds").flatten().to_pylist()], bool), sizes)
+        t, n, owner = t[code], n[code], owner[code]
     key, where = np.unique(owner.astype(np.int64) * COLUMNS + t, return_inverse=True)
     total = np.bincount(where, weights=n, minlength=len(key)) if len(key) else np.zeros(0)
-    return Block(ids[first], np.searchsorted(key // COLUMNS, np.arange(len(first))), (key % COLUMNS).astype(np.int32), total, [langs[k] for k in first])
+    return Block(ids, np.searchsorted(key // COLUMNS, np.arange(len(batch))), (key % COLUMNS).astype(np.int32), total, langs)
 
 
 def mixtures(x: Block, h: np.ndarray, rounds: int = INNER) -> np.ndarray:
@@ -125,7 +136,7 @@ _PIECE = 4096
 
 
 def _emit(kind: str, sums: np.ndarray) -> pa.RecordBatch:
-    rows = [(kind, k, p // _PIECE, sums[k, p : p + _PIECE].astype(np.float32).tobytes()) for k in range(len(sums)) for p in range(0, sums.shape[1], _PIECE)]
+    rows = [(kind, k, p // _PIECE, sums[k, p : p + _PIECE].astype(np.float64).tobytes()) for k in range(len(sums)) for p in range(0, sums.shape[1], _PIECE)]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["kind", "k", "part", "sums"])
 
 
@@ -133,19 +144,19 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[tuple, np.ndarray] = {}
     for batch in batches:
         for kind, k, part, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            piece = np.frombuffer(raw, np.float32).astype(np.float64)
+            piece = np.frombuffer(raw, np.float64)
             total[kind, k, part] = total[kind, k, part] + piece if (kind, k, part) in total else piece
     if total:
-        rows = [(*key, v.astype(np.float32).tobytes()) for key, v in total.items()]
+        rows = [(*key, v.tobytes()) for key, v in total.items()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["kind", "k", "part", "sums"])
 
 
 def _gather(stored: DataFrame, run, sizes: dict[str, tuple[int, int]]) -> dict[str, np.ndarray]:
     """Add up the fixed-size sums that ``run`` yields for every partition; the driver gets one of each."""
-    merged = stored.mapInArrow(run, _SUMS).repartition(24, "kind", "k", "part").mapInArrow(_merge, _SUMS)
+    merged = add_up(stored.mapInArrow(run, _SUMS), _merge, ["kind", "k", "part"], 24)
     out = {kind: np.zeros(shape) for kind, shape in sizes.items()}
     for row in merged.collect():  # of fixed size
-        piece = np.frombuffer(row.sums, np.float32)
+        piece = np.frombuffer(row.sums, np.float64)
         out[row.kind][row.k, row.part * _PIECE : row.part * _PIECE + len(piece)] = piece
     return out
 
@@ -161,24 +172,23 @@ class Model:
     company: np.ndarray
     usual: np.ndarray
 
-    def shares(self) -> np.ndarray:
-        """For each subject and term the part of the term's mass in the subjects that is this subject's.
+    def parts(self) -> np.ndarray:
+        """The components with every term divided by its mass in all of them: what part of a term is whose.
 
-        Terms of rare languages count like those of frequent ones. ``SUPPORT`` keeps terms seen too seldom from being
-        anybody's; terms that no subject holds by at least ``OWN``, or whose documents are about the subject not by
-        ``COMPANY`` of what is possible more than all documents (setting-up code, say, that has a subject's word), are
-        common.
+        So terms of rare languages count like those of frequent ones. ``SUPPORT`` keeps terms seen too seldom from being
+        anybody's; a term whose documents are about a subject not by ``COMPANY`` of what is possible more than all
+        documents (setting-up code, say, that has a subject's word) is not the subject's.
         """
         explained = self.h * self.mass[:, None]
-        mine = explained[: len(self.subjects)]
-        part = mine / (mine.sum(axis=0) + SUPPORT)
+        part = explained / (explained.sum(axis=0) + SUPPORT)
         least = self.usual + COMPANY * (1 - self.usual)
-        return np.where((part >= OWN) & (self.company >= least[:, None]), part, 0).astype(np.float32)
+        part[: len(self.subjects)][self.company < least[:, None]] = 0
+        return part.astype(np.float32)
 
 
 #: What every term starts with in every component that is open to it.
 OPEN = 0.01
-SUPPORT, OWN, COMPANY = 0.3, 0.25, 0.35
+SUPPORT, COMPANY = 0.3, 0.35
 LANGS = ("en", "de", "es", None)
 
 
@@ -196,7 +206,7 @@ def fit(stored: DataFrame, labels: DataFrame, subjects: list[str], rounds: int =
     def counts(batches):
         df, seen, sums = np.zeros((1, COLUMNS)), np.zeros((1, n + 2)), np.zeros((n + 1, COLUMNS))
         for batch in batches:
-            x = _block(batch, True)
+            x = _block(batch)
             df[0] += np.bincount(x.terms, minlength=COLUMNS)
             seen[0, n + 1] += len(x.ids)
             ends = np.append(x.start, len(x.terms))
@@ -226,7 +236,7 @@ def fit(stored: DataFrame, labels: DataFrame, subjects: list[str], rounds: int =
     def commons(batches):
         sums, docs, cells = np.zeros((len(LANGS) + 1, COLUMNS)), np.zeros((len(LANGS) + 1, COLUMNS)), np.zeros((1, len(LANGS) + 1))
         for batch in batches:
-            x = _block(batch, True).weighted(idf)
+            x = _block(batch).weighted(idf)
             rows = np.repeat(np.arange(len(x.ids)), np.diff(np.append(x.start, len(x.terms))))
             lang = np.array([LANGS.index(v) if v in LANGS else len(LANGS) - 1 for v in x.langs], np.int64)
             for k in range(len(LANGS)):
@@ -234,11 +244,10 @@ def fit(stored: DataFrame, labels: DataFrame, subjects: list[str], rounds: int =
                 sums[k] += np.bincount(x.terms[pick], weights=x.counts[pick], minlength=COLUMNS)
                 docs[k] += np.bincount(x.terms[pick], minlength=COLUMNS)
                 cells[0, k] += (lang == k).sum()
-            mask = np.array([k == "code" for k in batch.column("kind").to_pylist()])
-            c = _block(batch.filter(pa.array(mask)), True).weighted(idf)
+            c = _block(batch, "code").weighted(idf)
             sums[len(LANGS)] += np.bincount(c.terms, weights=c.counts, minlength=COLUMNS)
             docs[len(LANGS)] += np.bincount(c.terms, minlength=COLUMNS)
-            cells[0, len(LANGS)] += len(c.ids)
+            cells[0, len(LANGS)] += sum("code" in kinds for kinds in batch.column("kinds").to_pylist())
         yield _emit("common", sums)
         yield _emit("docs", docs)
         yield _emit("cells", cells)
@@ -261,7 +270,7 @@ def fit(stored: DataFrame, labels: DataFrame, subjects: list[str], rounds: int =
             h = now.value
             wx, ww, ws = np.zeros((len(h), COLUMNS)), np.zeros((len(h), len(h))), np.zeros((1, len(h)))
             for batch in batches:
-                x = _block(batch, True).weighted(idf)
+                x = _block(batch).weighted(idf)
                 w = mixtures(x, h)
                 rows = np.repeat(np.arange(len(x.ids)), np.diff(np.append(x.start, len(x.terms))))
                 for k in range(len(h)):
@@ -281,7 +290,7 @@ def fit(stored: DataFrame, labels: DataFrame, subjects: list[str], rounds: int =
         h = final.value
         sums = np.zeros((n + 1, COLUMNS))
         for batch in batches:
-            x = _block(batch, True).weighted(idf)
+            x = _block(batch).weighted(idf)
             w = mixtures(x, h)[:, :n]
             w = w / np.maximum(w.sum(axis=1, keepdims=True), 0.01)
             rows = np.repeat(np.arange(len(x.ids)), np.diff(np.append(x.start, len(x.terms))))
@@ -294,39 +303,42 @@ def fit(stored: DataFrame, labels: DataFrame, subjects: list[str], rounds: int =
     return Model(subjects, idf, h, mass, got[:n] / np.maximum(got[n], 1e-9), got[:n].sum(axis=1) / max(got[n].sum(), 1e-9))
 
 
-EVIDENCE = 0.6
+#: What a cell's mixture must hold of a subject at least, in terms.
+EVIDENCE = 0.15
+#: Updates of the mixture of a cell.
+SETTLED = 40
 
 
-def _judge(model: Model):
-    shares, n = model.shares(), len(model.subjects)
+def _judge(model: Model, share: float):
+    parts, n = model.parts(), len(model.subjects)
+    weight = parts.sum(axis=1)
+    names = np.array(model.subjects, object)
+    schema = pa.schema([("doc_id", pa.int64()), ("subject", pa.string()), ("share", pa.float64())])
 
     def run(batches):
         for batch in batches:
-            x = _block(batch, False)
-            w = Block(x.ids, x.start, x.terms, np.log2(1 + x.counts).astype(np.float32)).times(shares) if n else np.zeros((len(x.ids), 1))
+            x = _block(batch, "cells")
+            x = Block(x.ids, x.start, x.terms, np.log2(1 + x.counts).astype(np.float32))
+            w = mixtures(x, parts, SETTLED)[:, :n] * weight[:n]
             best = w.argmax(axis=1) if len(w) else np.zeros(0, np.int64)
-            top = w[np.arange(len(w)), best]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([model.subjects[b] if t >= EVIDENCE else None for b, t in zip(best, top, strict=True)], pa.string()), pa.array(top.astype(np.float64))], ["doc_id", "subject", "weight"])
+            sure = w[np.arange(len(w)), best] >= EVIDENCE
+            n_cells = np.diff(batch.column("sizes").offsets.to_numpy())
+            owner = np.repeat(np.arange(len(batch)), n_cells)
+            have = np.bincount(owner[sure] * n + best[sure], minlength=len(batch) * n).reshape(len(batch), n)
+            doc, subject = np.nonzero((have > 0) & (have >= share * n_cells[:, None]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(names[subject], pa.string()), pa.array(have[doc, subject] / n_cells[doc])], schema=schema)
 
     return run
 
 
-def cell_subjects(stored: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, subject, weight)`` for every cell; subject is null where none stands out."""
-    return stored.mapInArrow(_judge(model), "doc_id bigint, subject string, weight double")
-
-
-def document_subjects(judged: DataFrame, share: float = 0.2) -> DataFrame:
+def document_subjects(stored: DataFrame, model: Model, share: float = 0.2) -> DataFrame:
     """``(doc_id, subject, share)`` of subjects that hold at least ``share`` of a document's text and code cells."""
-    counted = judged.groupBy("doc_id", "subject").agg(F.count("*").alias("n"))
-    per = counted.groupBy("doc_id").agg(F.sum("n").alias("cells"), F.collect_list(F.struct("subject", "n")).alias("each"))
-    flat = per.select("doc_id", "cells", F.explode("each").alias("e")).where("e.subject IS NOT NULL")
-    return flat.select("doc_id", F.col("e.subject").alias("subject"), (F.col("e.n") / F.col("cells")).alias("share")).where(F.col("e.n") >= F.col("cells") * share)
+    return stored.mapInArrow(_judge(model, share), "doc_id bigint, subject string, share double")
 
 
 def assign(documents: DataFrame, labels: DataFrame, subjects: DataFrame, share: float = 0.2) -> DataFrame:
-    names = [r.subject for r in subjects.where("subject IS NOT NULL").select("subject").distinct().orderBy("subject").limit(1000).collect()]  # a fixed list
+    names = [r.subject for r in subjects.where("subject IS NOT NULL").select("subject").distinct().orderBy("subject").collect()]  # the allowed subjects, a fixed list
     if not names:
         return documents.sparkSession.createDataFrame([], "doc_id bigint, subject string, share double")
     stored = materialize(cells(documents), "p8-cells")
-    return document_subjects(cell_subjects(stored, fit(stored, labels, names)), share)
+    return document_subjects(stored, fit(stored, labels, names), share)

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from leafmill.llm import heavy, leakage, mojibake, packing, residue, skeleton, subjects
+from leafmill.llm.merge import add_up
 
 # ---- 1 most frequent values
 
@@ -380,6 +381,40 @@ def test_subjects_on_held_out_documents(spark):
     assert not {g for g in got if g[0] >= 1900}
 
 
+def test_more_than_a_thousand_subjects(spark):
+    rows, _, labels = corpus(2, 60)
+    names = spark.createDataFrame([(k, s) for k, s in enumerate([*(f"a{k:04}" for k in range(1000)), "law"])], "subject_id int, subject string")
+    got = subjects.assign(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id bigint, subject string"), names)
+    assert {r.subject for r in got.collect()} == {"law"}
+
+
+def test_documents_stay_whole_in_any_batch(spark):
+    rows, _, labels = corpus(3, 200)
+    docs, given = spark.createDataFrame(rows, DOCS).coalesce(1), spark.createDataFrame(labels, "doc_id bigint, subject string")
+    names = spark.createDataFrame([(1, "law"), (2, "music")], "subject_id int, subject string")
+    found = []
+    for size in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        found.append({tuple(r) for r in subjects.assign(docs, given, names).collect()})
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] and found[0]
+
+
+def test_sums_in_two_levels(spark):
+    parts = spark.range(0, 100, 1, 100).selectExpr("id % 3 AS k", "id AS v")
+
+    def run(batches):
+        total = Counter()
+        for b in batches:
+            for k, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                total[k] += v
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_pylist([{"k": k, "v": v} for k, v in total.items()], pa.schema([("k", pa.int64()), ("v", pa.int64())]))
+
+    assert {tuple(r) for r in add_up(parts, run, ["k"], 5).collect()} == {(k, sum(range(k, 100, 3))) for k in range(3)}
+
+
 def test_subjects_without_rows_or_labels(spark):
     rows, _, labels = corpus(2, 20)
     names = spark.createDataFrame([(1, "law")], "subject_id int, subject string")
