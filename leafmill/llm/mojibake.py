@@ -318,16 +318,16 @@ def restore(text: str, model: PairModel, spans: list[tuple[int, int]] | None = N
             at = e
         if kinds - {0}:
             offer("".join([*pieces, text[at:]]), min(kinds - {0}))
-    for encoding in DOUBLE[:3] if any(ord(c) > 0x2E00 for s, e in areas for c in text[s:e]) else ():
+    for encoding in DOUBLE if any(ord(c) > 0x2E00 for s, e in areas for c in text[s:e]) else ():
         offer(_utf8_from_double(text, encoding), 1)
         for s, e in areas:
             for end in (e, min(e + 1, len(text))):
                 piece = _utf8_from_double(text[s:end], encoding)
                 if piece:
                     offer(text[:s] + piece + text[end:], 1)
-    wide = sum(ord(c) > 0x7F for c in text)
+    wide = sum(ord(c) > 0x7F for s, e in areas for c in text[s:e])
     if best is None and before >= max(GAIN, GAIN_EACH * wide):
-        ranked = [(left, c) for c, left in _reread_all(text, model) if before - left >= max(GAIN, GAIN_EACH * wide) and left <= LEFT * before]
+        ranked = [(left, c) for c, left in _reread(text, areas, model) if before - left >= max(GAIN, GAIN_EACH * wide) and left <= LEFT * before]
         best = min(ranked)[1] if ranked else None
     return best if best is not None else _whole_utf8(text, model, rounds)
 
@@ -385,25 +385,56 @@ def _swaps() -> list[tuple[frozenset[str], list[dict[int, str]]]]:
     return out
 
 
-def _reread_all(text: str, model: PairModel) -> list[tuple[str, float]]:
-    """Every reading of ``text`` in another encoding that has only characters the corpus knows, with its badness."""
-    letters = {c for c in text if ord(c) > 0x7F}
-    found = set()
+def _inside(text: str, areas: list[tuple[int, int]], change) -> str | None:
+    """``text`` with each area changed; None if one cannot be."""
+    pieces, at = [], 0
+    for s, e in areas:
+        new = change(text[s:e])
+        if new is None:
+            return None
+        pieces += [text[at:s], new]
+        at = e
+    return "".join([*pieces, text[at:]])
+
+
+def _reread(text: str, areas: list[tuple[int, int]], model: PairModel) -> list[tuple[str, float]]:
+    """``text`` with its improbable areas read in every other encoding that gives only characters the corpus knows, and the
+    badness of each. What explains the areas is applied to the rest of the text too where that leaves less badness."""
+    letters = {c for s, e in areas for c in text[s:e] if ord(c) > 0x7F}
+    everywhere = {c for c in text if ord(c) > 0x7F}
+    found: set[str] = set()
+    wide = sum(ord(c) > 0x7F for s, e in areas for c in text[s:e])
+    if everywhere > letters and wide < 2:
+        return []  # one odd letter beside others that stay is a look-alike
+    double = wide >= 2 and any(ord(c) > 0x2E00 for c in letters)
+
+    def good(new: str) -> bool:
+        return new != "\0" and bool(model.known[min(ord(new), CHARS - 1)]) and _sensible(new)
+
     for read, (has, maps) in zip(SINGLE, _swaps(), strict=True):
         if not letters <= has:
             continue
         for meaning in maps:
-            new = [meaning[ord(c)] for c in letters]
-            if "\0" not in new and all(model.known[min(ord(c), CHARS - 1)] and _sensible(c) for c in new) and _fits(candidate := text.translate(meaning)):
+            if all(good(meaning[ord(c)]) for c in letters) and _fits(candidate := _inside(text, areas, lambda t: t.translate(meaning))):  # noqa: B023
                 found.add(candidate)
-        raw = _raw(text, read)
+                if everywhere > letters and everywhere <= has and all(good(meaning[ord(c)]) for c in everywhere) and _fits(whole := text.translate(meaning)):
+                    found.add(whole)
+    for read in (*SINGLE, *(DOUBLE if double else ())):
+        if read in SINGLE and not letters <= _swaps()[SINGLE.index(read)][0]:
+            continue
         for written in WRITTEN:
-            if written in DOUBLE and raw:
+            if written == read or written not in DOUBLE and read not in DOUBLE:
+                continue
+
+            def again(t: str) -> str | None:
+                raw = _raw(t, read)  # noqa: B023
                 try:
-                    candidate = raw.decode(written)
+                    return raw.decode(written) if raw is not None else None  # noqa: B023
                 except UnicodeDecodeError:
-                    continue
-                if _known(candidate, model):
+                    return None
+
+            for candidate in (_inside(text, areas, again), again(text)):
+                if candidate is not None and _known(candidate, model):
                     found.add(candidate)
     found.discard(text)
     return [(c, model.badness(c)) for c in sorted(found)]
@@ -428,30 +459,24 @@ def _known(text: str, model: PairModel, share: float = 1.0) -> bool:
     return sum(_sensible(c) and bool(model.known[min(ord(c), CHARS - 1)]) for c in wide) >= share * len(wide)
 
 
-#: Longer texts are restored stretch by stretch, divided at white space, so that the work stays in proportion.
+#: Characters after which a text is divided at the next border; every stretch is judged by itself, whatever the length.
 STRETCH = 300
+_BREAK = re.compile(r"[ \t\n\r]|[\u3001\u3002\uff01\uff1f]|(?<=[\x00-\x7f])(?=[\x00-\x7f])")
 
 
 def stretches(text: str) -> list[str]:
-    """The text in pieces of about ``STRETCH`` characters that end with white space where there is any."""
+    """The text in pieces of ``STRETCH`` characters and what follows up to a border that no garbled sequence holds."""
     out, at = [], 0
     while at < len(text):
-        end = at + STRETCH
-        if end < len(text):
-            m = _BREAK.search(text, end, end + STRETCH)
-            end = m.end() if m else end + STRETCH
+        m = _BREAK.search(text, at + STRETCH)
+        end = m.end() if m else len(text)
         out.append(text[at:end])
         at = end
     return out
 
 
-_BREAK = re.compile(r"\s")
-
-
 def restore_all(text: str, model: PairModel) -> str | None:
-    """``restore`` for texts of any length."""
-    if len(text) <= 2 * STRETCH:
-        return restore(text, model)
+    """``restore`` for every stretch of a text."""
     pieces = stretches(text)
     better = [restore(p, model) if not p.isascii() or "&#" in p else None for p in pieces]
     return "".join(b or p for b, p in zip(better, pieces, strict=True)) if any(better) else None
@@ -465,11 +490,12 @@ def _detect(model: PairModel):
         for batch in batches:
             fields, ids, texts = (c.to_pylist() for c in batch.columns)
             fresh = list({t for t in texts if t not in known})
-            if len(known) > 200_000:
+            judged = {t: known[t] for t in texts if t in known}
+            judge_all(fresh, model, judged)
+            rows = [(f, i, t, judged[t][1]) for f, i, t in zip(fields, ids, texts, strict=True) if judged[t][0]]
+            if len(known) > 100_000:
                 known.clear()
-                fresh = list(set(texts))
-            judge_all(fresh, model, known)
-            rows = [(f, i, t, known[t][1]) for f, i, t in zip(fields, ids, texts, strict=True) if known[t][0]]
+            known |= {t: j for t, j in judged.items() if len(t) <= 200}
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -487,7 +513,7 @@ def judge_all(texts: list[str], model: PairModel, into: dict[str, tuple[bool, st
     for t, s, n in zip(texts, starts.tolist(), lengths.tolist(), strict=True):
         restored = None
         if (n > 1 and odd[s + n - 1] > odd[s]) or "&#" in t or not t.isascii():
-            restored = restore(t, model, runs(np.clip(model.threshold - scores[s : s + n - 1], -6, 6)) if n > 1 else []) if n <= 2 * STRETCH else restore_all(t, model)
+            restored = restore_all(t, model)
         into[t] = (restored is not None or "�" in t, restored)
 
 

@@ -179,6 +179,16 @@ def test_more_wrong_decodings(model):
         assert (mojibake.restore(bad, model) or "").lower() == good.lower()
 
 
+@pytest.mark.parametrize("n", [5, 12, 40, 400])
+def test_texts_of_any_length_are_judged_alike(model, n):
+    good = " ".join(["Größentabelle für Fußböden und Gärtnerei"] * n)
+    bad = good.encode().decode("cp1252")
+    assert mojibake.restore_all(bad, model) == good and mojibake.restore_all(good, model) is None
+    if n < 20:
+        assert mojibake.restore(bad, model) == good
+    assert "".join(mojibake.stretches(bad)) == bad
+
+
 def test_right_texts_stay(model):
     known = {}
     texts = [*GOOD, *(g.upper() for g in GOOD), *(g.lower() for g in GOOD), "Küchengeräte ab 1", "plain", "x"]
