@@ -504,17 +504,9 @@ def _detect(model: PairModel):
 
 def judge_all(texts: list[str], model: PairModel, into: dict[str, tuple[bool, str | None]]) -> None:
     """For each text whether it is garbled and, if so, its restored form or None."""
-    if not texts:
-        return
-    lengths = np.array([len(t) for t in texts])
-    scores = model.scores(_symbols("\n".join(t.replace("\n", " ") for t in texts)))
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    odd = np.concatenate([[0], np.cumsum(scores < model.threshold)])
-    for t, s, n in zip(texts, starts.tolist(), lengths.tolist(), strict=True):
-        restored = None
-        if (n > 1 and odd[s + n - 1] > odd[s]) or "&#" in t or not t.isascii():
-            restored = restore_all(t, model)
-        into[t] = (restored is not None or "�" in t, restored)
+    for t in texts:
+        restored = restore_all(t, model) if not t.isascii() or "&#" in t else None
+        into[t] = (restored is not None or "\ufffd" in t, restored)
 
 
 def detect(records: DataFrame, model: PairModel) -> DataFrame:
