@@ -20,7 +20,7 @@ def register(spark: SparkSession) -> list[str]:
     """Register all; returns their names."""
     for name, parameters, kind, body in BODIES:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
-    spark.udf.register("absolute_url", urls.absolute_url)
+    spark.udf.register("absolute_url", urls._absolute)
     spark.udf.register("parse_color", colors.parse_color)
     spark.udf.register("colors_in", colors.colors_in)
     return [b[0] for b in BODIES] + ["absolute_url", "parse_color", "colors_in"]

@@ -7,13 +7,14 @@ plain column arithmetic.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from leafmill.functions.text import JS_WS, js_trim
 
@@ -120,24 +121,46 @@ def resolve_one(url: str, base: str | None) -> str | None:
     return out
 
 
+_BLANKS = "".join((" \t\n\x0b\f\r\xa0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff", *map(chr, range(0x2000, 0x200B))))
+
+
+def js_strip(text: str) -> str:
+    return text.strip(_BLANKS)
+
+
 @lru_cache(50_000)
 def absolute_one(url: str, base: str | None) -> str:
     """Absolute form of a link as written: mail addresses in lower case, other schemes as they are, pages resolved."""
-    from re import IGNORECASE, match
-
-    url = url.strip("".join((" \t\n\x0b\f\r      　﻿", *map(chr, range(0x2000, 0x200B)))))
-    if m := match(r"(?:mail|mailto):([^?]*)(.*)", url, IGNORECASE):
+    url = js_strip(url)
+    if m := re.match(r"(?:mail|mailto):([^?]*)(.*)", url, re.I):
         return "mailto:" + m[1].strip().lower() + m[2]
-    if (m := match(r"([a-z][a-z\d+.-]*):", url, IGNORECASE)) and m[1].lower() not in ("http", "https"):
+    if (m := re.match(r"([a-z][a-z\d+.-]*):", url, re.I)) and m[1].lower() not in ("http", "https"):
         return url
     return resolve_one(url, base) or url
 
 
 @F.pandas_udf(StringType())
-def absolute_url(url: pd.Series, base: pd.Series) -> pd.Series:
+def _absolute(url: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([None if u is None else absolute_one(u, b) for u, b in zip(url, base, strict=True)], dtype=object)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def absolute_urls(urls: pd.Series, base: pd.Series) -> pd.Series:
+    return pd.Series([None if us is None else [absolute_one(u, b) for u in us] for us, b in zip(urls, base, strict=True)], dtype=object)
+
+
+#: Addresses that are their own absolute form, and paths that only need the host of a base that is its own too.
+_DONE = "^https?://[a-z0-9][a-z0-9.\\-]*[a-z0-9]/(?:[A-Za-z0-9_~/=&,;@\\-]|\\.(?![./]|$)|[?](?=[^?#]*$))*$"
+_PATH = "^/(?!/)(?:[A-Za-z0-9_~/=&,;@\\-]|\\.(?![./]|$))*$"
+_ORIGIN = "^(https?://[a-z0-9][a-z0-9.\\-]*[a-z0-9])(?:[/?#].*)?$"
+
+
+def absolute_url(url: Column, base: Column) -> Column:
+    """``url`` seen from ``base``: plain addresses and paths inside code generation, the others in Python."""
+    plain = F.when(url.rlike(_DONE), url).when(url.rlike(_PATH) & base.rlike(_ORIGIN), F.concat(F.regexp_extract(base, _ORIGIN, 1), url))
+    return F.coalesce(plain, _absolute(F.when(plain.isNull(), url), base))
+
+
 def special_protocol(url: Column) -> Column:
     """The scheme of a URL that leads to no web page, in lower case with its colon; null for pages."""
     scheme = F.lower(F.regexp_extract(js_trim(url), "(?i)^([a-z][a-z0-9+.\\-]*:)", 1))
@@ -157,13 +180,40 @@ def host_of(url: Column) -> Column:
 
 
 def is_resource(url: Column) -> Column:
-    """Whether the path ends in the extension of a download."""
-    return F.regexp_replace(url, "[?#].*$", "").rlike(f"(?i)\\.(?:{'|'.join(RESOURCES)})$")
+    """Whether the path ends in the extension of a download; a host with such an ending is none."""
+    path = F.regexp_replace(F.regexp_replace(url, "^[a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]*", ""), "[?#].*$", "")
+    return path.rlike(f"(?i)\\.(?:{'|'.join(RESOURCES)})$")
 
 
-def link_kind(href: Column, resolved: Column, base: Column) -> Column:
+def link_kind(href: Column, resolved: Column, page: Column) -> Column:
     """special, anchor, internal or external for a link as written, its resolved form and the URL of the page."""
     plain = lambda c: F.regexp_replace(c, "#.*$", "")
-    anchor = F.regexp_replace(href, f"^[{JS_WS}]+", "").rlike("^/?#") & (plain(resolved) == plain(base))
-    same = site_of(host_of(resolved)) == site_of(host_of(base))
-    return F.when(special_protocol(resolved).isNotNull(), "special").when(anchor, "anchor").when(same, "internal").otherwise("external")
+    here = F.regexp_replace(plain(page), "^(https?://[^/?#]+)(?=[?#]|$)", "$1/")
+    anchor = F.regexp_replace(href, f"^[{JS_WS}]+", "").rlike("^/?#") & (plain(resolved) == here)
+    same = site_of(host_of(resolved)) == site_of(host_of(page))
+    return F.when(special_protocol(href).isNotNull(), "special").when(anchor, "anchor").when(same, "internal").otherwise("external")
+
+
+def kind_of(href: str, resolved: str, page: str) -> str:
+    """``link_kind`` for one link, for use outside of columns."""
+    scheme = re.match(r"([a-z][a-z\d+.-]*):", js_strip(href), re.I)
+    if scheme and scheme[1].lower() not in ("http", "https"):
+        return "special"
+    here = re.sub(r"^(https?://[^/?#]+)(?=[?#]|$)", r"\1/", page.split("#")[0])
+    if re.match("/?#", js_strip(href)) and resolved.split("#")[0] == here:
+        return "anchor"
+    return "internal" if _site(resolved) == _site(page) else "external"
+
+
+def _site(url: str) -> str:
+    m = re.match(r"https?://(?:[^/?#@]*@)?([^/?#:]*)", url, re.I)
+    labels = (m[1] if m else "").lower().removeprefix("www.").split(".")
+    return ".".join(labels[-3:] if len(labels) > 2 and labels[-2] in SECOND_LEVEL else labels[-2:])
+
+
+_RESOURCE_PATH = re.compile(rf"\.(?:{'|'.join(RESOURCES)})\Z", re.I)
+
+
+def resource_of(url: str) -> bool:
+    """``is_resource`` for one address."""
+    return bool(_RESOURCE_PATH.search(re.split("[?#]", re.sub(r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*", "", url), maxsplit=1)[0]))

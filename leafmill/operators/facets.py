@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import JS_WS, clean_text, js_trim, utf16_length
-from leafmill.functions.urls import absolute_url, is_resource, link_kind
+from leafmill.functions.urls import absolute_url, absolute_urls, is_resource, link_kind
 from leafmill.operators import selectors
 from leafmill.operators.tokenizer import ENTER, EXIT, TEXT, elements
 
@@ -59,13 +59,8 @@ def first_rows(df: DataFrame, most: int, *by: str) -> DataFrame:
 
 
 def with_base(tokens: DataFrame) -> DataFrame:
-    """``base`` for every event: the page's URL, from the first base element with a usable address on that one."""
-    is_base = (F.col("kind") == ENTER) & (F.col("tag") == "base") & ~blank(attr("href")) & (within("head") | (F.size("path") <= 1))
-    found = F.min(F.when(is_base, F.struct("seq", attr("href").alias("href")))).over(_page())
-    marked = tokens.withColumn("_base", found)
-    own = F.when(F.col("_base").isNotNull() & (F.col("seq") > F.col("_base.seq")), absolute_url(F.col("_base.href"), F.col("url")))
-    usable = own.rlike("^https?://[^/?#]+")
-    return marked.withColumn("base", F.when(usable, own).otherwise(F.col("url"))).drop("_base")
+    """``base`` for every event: what its address is seen from, the page's URL where no base element came before."""
+    return tokens.withColumn("base", F.coalesce("base", "url"))
 
 
 def hides_content(tag: Column, attrs: Column) -> Column:
@@ -78,28 +73,42 @@ def hidden_from_readers(tag: Column, attrs: Column) -> Column:
     return marked & (tag != "main") & F.coalesce(attrs["role"] != "main", F.lit(True))
 
 
+def _so_far():
+    return _in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def standing_in(test: Column, own: bool = True) -> Column:
+    """Whether a row stands in (``own``: or is) an element that ``test`` accepts: such elements were entered before it and
+    the one that ends last has not ended. Linear in the events of a page."""
+    last = F.max(F.when((F.col("kind") == ENTER) & test, F.col("close"))).over(_so_far() if own else _in_order().rowsBetween(Window.unboundedPreceding, -1))
+    return F.coalesce(last >= F.col("seq") if own else last > F.col("seq"), F.lit(False))
+
+
 def marked_inside(tokens: DataFrame, test: Column, name: str, own: bool = True) -> DataFrame:
     """``tokens`` with a column telling whether they stand in (``own``: or are) an element that ``test`` accepts."""
-    marks = F.collect_list(F.when((F.col("kind") == ENTER) & test, F.col("node"))).over(_page())
-    here = F.arrays_overlap("inside", "_marks")
-    if own:
-        here = here | F.array_contains("_marks", F.col("node"))
-    return tokens.withColumn("_marks", marks).withColumn(name, F.coalesce(here, F.lit(False)) & (F.size("_marks") > 0)).drop("_marks")
+    return tokens.withColumn(name, standing_in(test, own))
 
 
 def with_hidden(tokens: DataFrame, rule=None) -> DataFrame:
     """``hidden`` for every event; ``rule(tag, attrs, by_markup) -> Column`` may decide otherwise than the markup."""
-    test = hides_content(F.col("tag"), F.col("attrs"))
-    return marked_inside(tokens, rule(F.col("tag"), F.col("attrs"), test) if rule else test, "hidden")
+    if rule is None:
+        return tokens  # the tokenizer knows
+    return marked_inside(tokens, rule(F.col("tag"), F.col("attrs"), hides_content(F.col("tag"), F.col("attrs"))), "hidden")
 
 
 def in_context(tokens: DataFrame, context: str | None) -> DataFrame:
     """Events inside the elements that ``context`` matches; pages where it matches nothing stay whole."""
     if context is None:
         return tokens
-    hits = selectors.match(elements(tokens), context).groupBy("page_id").agg(F.collect_set("node").alias("_hits"))
-    joined = tokens.join(hits, "page_id", "left")
-    return joined.where(F.col("_hits").isNull() | F.arrays_overlap("inside", "_hits") | F.array_contains("_hits", F.col("node"))).drop("_hits")
+    chains = [selectors.steps(s) for s in selectors.split_list(context)]
+    if all(len(c) == 1 for c in chains):
+        test = reduce(lambda a, b: a | b, (selectors.compound(c[0][1]) for c in chains))
+        marked = tokens.withColumn("_hit", (F.col("kind") == ENTER) & test)
+    else:
+        hits = selectors.match(elements(tokens), context).select("page_id", "node", F.lit(True).alias("_hit"))
+        marked = tokens.join(hits, ["page_id", "node"], "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)) & (F.col("kind") == ENTER))
+    marked = marked.withColumn("_in", standing_in(F.col("_hit"))).withColumn("_any", F.max("_hit").over(_page()))
+    return marked.where(~F.col("_any") | F.col("_in")).drop("_hit", "_in", "_any")
 
 
 def joined_text(rows: DataFrame, *by: str) -> DataFrame:
@@ -108,50 +117,69 @@ def joined_text(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"))
 
 
-def last_opened_text(tokens: DataFrame, tags: list[str], accept: Column) -> DataFrame:
-    """``(page_id, node, text, done)``: text goes to the element opened last, until the first such element ends."""
-    edge = F.when(F.col("tag").isin(tags) & (F.col("kind") == ENTER), F.when(accept, F.col("node"))).when(F.col("tag").isin(tags) & (F.col("kind") == EXIT), -1)
-    owned = tokens.withColumn("owner", F.last(edge, True).over(_in_order()))
-    words = owned.where((F.col("kind") == TEXT) & (F.col("owner") >= 0) & ~within(*CODE))
-    texts = joined_text(words, "page_id", "owner").withColumnRenamed("owner", "node")
-    ends = tokens.where((F.col("kind") == EXIT) & F.col("tag").isin(tags)).select("page_id", "node", F.col("seq").alias("done"))
-    return ends.join(texts, ["page_id", "node"], "left").select("page_id", "node", F.coalesce("text", F.lit("")).alias("text"), "done")
-
-
-def links(tokens: DataFrame, kinds: list[str] | None = None, resources: bool = True) -> DataFrame:
-    """Links of a page by address: text and attributes of the first, how often, hidden if all are; most frequent first."""
-    rows = with_base(with_hidden(tokens))
-    usable = F.coalesce(attr("href") != "", F.lit(False))
-    here = elements(rows).where((F.col("tag") == "a") & usable)
-    texts = last_opened_text(rows, ["a"], usable)
-    made = here.join(texts.withColumnRenamed("text", "words"), ["page_id", "node"]).select(
-        "page_id", absolute_url(attr("href"), F.col("base")).alias("href"), attr("href").alias("written"), "base", "hidden", "done", clean_text(F.col("words")).alias("text"),
-        attr("rel").alias("rel"), attr("target").alias("target"), clean_text(attr("aria-label")).alias("label"),
-    )
-    kept = made.where(~F.col("href").contains("/cdn-cgi/l/email-protection")).select("*", link_kind(F.col("written"), F.col("href"), F.col("base")).alias("kind"), is_resource(F.col("href")).alias("resource"))
-    if not resources:
-        kept = kept.where(~F.col("resource"))
+def opened_with_text(tokens: DataFrame, tags: list[str], accept: Column, owner: str, told: Column) -> DataFrame:
+    """``(page_id, node, opened, done, words)``: what ``told`` says of each accepted element, the event at which it ends and
+    the texts that belong to it, in one aggregation of narrow rows. Text goes to the element opened last, until the first
+    such element ends (``owner``)."""
+    mine = F.col("tag").isin(tags)
+    node = F.when(mine & (F.col("kind") != TEXT), F.col("node")).when((F.col("kind") == TEXT) & ~within(*CODE), F.col(owner))
+    word = F.when(F.col("kind") == TEXT, F.struct("seq", "text"))
+    rows = tokens.select("page_id", node.alias("node"), F.when(mine & (F.col("kind") == ENTER) & accept, told).alias("opened"), F.when(F.col("kind") == EXIT, F.col("seq")).alias("done"), word.alias("word")).where("node IS NOT NULL")
+    made = rows.groupBy("page_id", "node").agg(F.first("opened", True).alias("opened"), F.max("done").alias("done"), F.array_sort(F.collect_list("word")).alias("words"))
+    return made.where("opened IS NOT NULL").withColumn("words", F.array_join(F.transform("words", lambda w: w["text"]), ""))
+
+
+def links(tokens: DataFrame, kinds: list[str] | None = None, resources: bool = True, rule=None) -> DataFrame:
+    """Links of a page by address: text and attributes of the first, how often, hidden if all are; most frequent first.
+
+    ``kinds`` and ``resources`` filter before places are given; ``rule`` decides what is hidden, see ``with_hidden``.
+    """
+    told = F.struct("url", "base", "hidden", attr("href").alias("written"), attr("rel").alias("rel"), attr("target").alias("target"), attr("aria-label").alias("label"))
+    found = opened_with_text(with_base(with_hidden(tokens, rule)), ["a"], F.coalesce(attr("href") != "", F.lit(False)), "link", told)
+    made = found.select("page_id", "done", clean_text(F.col("words")).alias("text"), "opened.*").withColumn("href", absolute_url(F.col("written"), F.col("base")))
+    kept = made.where(~F.col("href").contains("/cdn-cgi/l/email-protection")).select("*", link_kind(F.col("written"), F.col("href"), F.col("url")).alias("kind"), is_resource(F.col("href")).alias("resource"))
     first = F.min_by(F.struct("text", "kind", "resource", "rel", "target", "label"), "done")
-    out = kept.groupBy("page_id", F.col("href").alias("url")).agg(first.alias("f"), F.count("*").cast("int").alias("link_count"), F.bool_and("hidden").alias("hidden"), F.min("done").alias("first_end"))
-    out = out.select("page_id", "url", "f.text", "f.kind", "f.resource", "link_count", "f.rel", "f.target", "f.label", "hidden", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("link_count"), "first_end")).alias("place"))
-    return out.where(F.col("kind").isin(kinds)) if kinds else out
+    out = kept.groupBy("page_id", F.col("href").alias("address")).agg(first.alias("f"), F.count("*").cast("int").alias("link_count"), F.bool_and("hidden").alias("hidden"), F.min("done").alias("first_end"))
+    out = out.select("page_id", F.col("address").alias("url"), "f.text", "f.kind", "f.resource", "link_count", "f.rel", "f.target", "f.label", "hidden", "first_end")
+    if kinds:
+        out = out.where(F.col("kind").isin(kinds))
+    if not resources:
+        out = out.where(~F.col("resource"))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("link_count"), "first_end"))).drop("first_end")
+
+
+def srcset_candidates(srcset: Column) -> Column:
+    """The addresses of a srcset as written: what stands at the beginning and after each comma that divides candidates. A
+    data address holds commas of its own and ends with its word."""
+    space = f"[{JS_WS}]"
+    words = F.regexp_extract_all(srcset, F.lit(f"(?:^|,){space}*(data:[^{JS_WS}]*?(?=,?(?:{space}|$))|[^,{JS_WS}]+)"), 1)
+    return F.filter(words, lambda w: ~w.startswith("data:"))
+
 
+def srcset_urls(srcset: Column, base: Column | None = None) -> Column:
+    """Addresses of a srcset (seen from ``base`` if given), data addresses left out, each once, at most twenty."""
+    found = srcset_candidates(srcset)
+    return F.slice(F.array_distinct(found if base is None else absolute_urls(found, base)), 1, LIMITS["sources"])
 
-def srcset_urls(srcset: Column) -> Column:
-    """Addresses of a srcset, data addresses left out, each once, at most twenty."""
-    words = F.filter(F.split(F.regexp_replace(srcset, ",(?=\\s|$)|,(?=[/h])", " , "), f"[{JS_WS}]+"), lambda w: w != "")
-    urls = F.filter(words, lambda w: ~w.rlike("^(?:,|data:.*|\\d+(?:\\.\\d+)?[wxh])$"))
-    return F.slice(F.array_distinct(F.transform(urls, lambda w: F.regexp_replace(w, ",+$", ""))), 1, LIMITS["sources"])
 
+def usable(c: Column) -> Column:
+    """An address that is there and holds no data, else null."""
+    return F.when((c != "") & ~c.startswith("data:"), c)
 
-def images(tokens: DataFrame, positions: DataFrame | None = None) -> DataFrame:
-    """Images by address, the first occurrence of each; null alt is missing, empty alt decorative."""
-    rows = with_base(with_hidden(tokens))
-    usable = [F.when(~blank(attr(n)) & ~F.lower(js_trim(attr(n))).startswith("data:"), attr(n)) for n in ("src", "data-src", "data-lazy-src")]
-    made = elements(rows).where(F.col("tag") == "img").withColumn("written", F.coalesce(*usable)).where("written IS NOT NULL")
-    made = made.withColumn("image_url", absolute_url(F.col("written"), F.col("base")))
-    found = first_rows(made, 1, "page_id", "image_url")
-    return found.select("page_id", "seq", "node", F.col("image_url").alias("url"), clean_text(attr("alt")).alias("alt"), attr("width").alias("width"), attr("height").alias("height"), attr("loading").alias("loading"), attr("srcset").isNotNull().alias("srcset"), srcset_urls(attr("srcset")).alias("sources"), "hidden")
+
+def images(tokens: DataFrame, positions: DataFrame | None = None, rule=None) -> DataFrame:
+    """Images by address: what the first occurrence says, hidden if all are; null alt is missing, empty alt decorative.
+
+    ``positions(page_id, node, position)`` adds where the first occurrence stands.
+    """
+    rows = with_base(with_hidden(tokens, rule))
+    made = elements(rows).where(F.col("tag") == "img").withColumn("written", F.coalesce(*(usable(attr(n)) for n in ("src", "data-src", "data-lazy-src")))).where("written IS NOT NULL")
+    told = made.select("page_id", "seq", "node", "base", "hidden", absolute_url(F.col("written"), F.col("base")).alias("url"), attr("alt").alias("alt"), attr("width").alias("width"), attr("height").alias("height"), attr("loading").alias("loading"), attr("srcset").alias("srcset"))
+    first = F.min_by(F.struct("node", "alt", "width", "height", "loading", "srcset", "base"), "seq").alias("f")
+    found = told.groupBy("page_id", "url").agg(F.min("seq").alias("seq"), first, F.bool_and("hidden").alias("hidden"))
+    sources = F.when(F.col("f.srcset") != "", srcset_urls(F.col("f.srcset"), F.col("f.base")))
+    out = found.select("page_id", "seq", "f.node", "url", clean_text(F.col("f.alt")).alias("alt"), "f.width", "f.height", "f.loading", F.col("f.srcset").isNotNull().alias("srcset"), sources.alias("sources"), "hidden")
+    return out if positions is None else out.join(positions.select("page_id", "node", "position"), ["page_id", "node"], "left")
 
 
 def scripts(tokens: DataFrame) -> DataFrame:
@@ -174,10 +202,12 @@ def media(tokens: DataFrame) -> DataFrame:
     """Addresses of audio, video, embedded objects and picture sources, each once."""
     rows = elements(with_base(tokens)).where(F.col("tag").isin("audio", "embed", "object", "source", "track", "video"))
     own = F.when(F.col("tag") == "object", attr("data")).otherwise(attr("src"))
-    written = F.concat(F.array(own), F.coalesce(srcset_urls(attr("srcset")), F.array().cast("array<string>")))
-    each = rows.select("page_id", "base", "seq", F.posexplode(written).alias("k", "written")).where(~blank(F.col("written")) & ~F.lower(F.col("written")).startswith("data:"))
-    made = each.select("page_id", (F.col("seq") * 100 + F.col("k")).alias("seq"), absolute_url(F.col("written"), F.col("base")).alias("src"))
-    return first_rows(made.groupBy("page_id", "src").agg(F.min("seq").alias("seq")), LIMITS["resources"], "page_id")
+    sources = F.when(attr("srcset") != "", srcset_candidates(attr("srcset")))
+    written = F.concat(F.array(usable(own)), F.coalesce(sources, F.array().cast("array<string>")))
+    each = rows.select("page_id", "base", "seq", F.posexplode(written).alias("k", "written")).where("written IS NOT NULL")
+    made = each.select("page_id", F.struct("seq", "k").alias("at"), absolute_url(F.col("written"), F.col("base")).alias("src"))
+    found = made.groupBy("page_id", "src").agg(F.min("at").alias("seq"))
+    return first_rows(found, LIMITS["resources"], "page_id")
 
 
 def titles(tokens: DataFrame) -> DataFrame:
@@ -190,39 +220,44 @@ def titles(tokens: DataFrame) -> DataFrame:
 def meta(tokens: DataFrame) -> DataFrame:
     """Language, description, generator, image, robots, viewport, canonical address and properties of each page."""
     rows = elements(with_base(tokens))
-    tags = rows.where(F.col("tag") == "meta").withColumn("name", F.lower(js_trim(F.coalesce(attr("name"), attr("property"))))).withColumn("content", attr("content"))
+    tags = rows.where(F.col("tag") == "meta").withColumn("name", F.lower(F.coalesce(attr("name"), attr("property")))).withColumn("content", attr("content"))
     filled = ~blank(F.col("content"))
 
-    def named(*names: str) -> Column:
-        return F.col("name").isin(*names) & filled
+    def named(name: str) -> Column:
+        return (F.col("name") == name) & filled
+
+    def seq(test: Column) -> Column:
+        return F.when(test, F.col("seq"))
 
     robots = F.array_sort(F.collect_list(F.when(named("robots"), F.struct("seq", "content"))))
     by_page = tags.groupBy("page_id").agg(
-        F.min_by(F.when(named("description"), clean_text(F.col("content"))), F.when(named("description"), F.col("seq"))).alias("description"),
-        F.min_by(F.when(named("generator"), clean_text(F.col("content"))), F.when(named("generator"), F.col("seq"))).alias("generator"),
-        F.min_by(F.when(named("og:image"), absolute_url(F.col("content"), F.col("base"))), F.when(named("og:image"), F.col("seq"))).alias("image"),
-        F.nullif(F.array_join(F.transform(robots, lambda r: clean_text(r["content"])), ", "), F.lit("")).alias("robots"),
-        F.max_by(F.when(named("viewport"), clean_text(F.col("content"))), F.when(named("viewport"), F.col("seq"))).alias("viewport"),
+        F.min_by(F.when(named("description"), F.col("content")), seq(named("description"))).alias("description"),
+        F.min_by(F.when(named("generator"), F.col("content")), seq(named("generator"))).alias("generator"),
+        F.min_by(F.when(named("og:image"), F.struct("content", "base")), seq(named("og:image"))).alias("image"),
+        F.nullif(F.array_join(F.transform(robots, lambda r: r["content"]), ", "), F.lit("")).alias("robots"),
+        F.max_by(F.when(named("viewport"), F.col("content")), seq(named("viewport"))).alias("viewport"),
     )
+    canonical = (F.col("tag") == "link") & F.array_contains(F.split(F.lower(F.coalesce(attr("rel"), F.lit(""))), f"[{JS_WS}]+"), "canonical")
     others = rows.groupBy("page_id").agg(
-        F.max_by(F.struct(attr("lang").alias("v")), F.when(F.col("tag") == "html", F.col("seq"))).alias("language"),
-        F.max_by(F.struct(F.when(~blank(attr("href")), absolute_url(attr("href"), F.col("base"))).alias("v")), F.when((F.col("tag") == "link") & F.array_contains(F.split(F.lower(F.coalesce(attr("rel"), F.lit(""))), f"[{JS_WS}]+"), "canonical"), F.col("seq"))).alias("canonical"),
+        F.max_by(F.struct(attr("lang").alias("v")), seq(F.col("tag") == "html")).alias("language"),
+        F.max_by(F.struct(F.nullif(attr("href"), F.lit("")).alias("v"), "base"), seq(canonical)).alias("canonical"),
     )
-    return others.join(by_page, "page_id", "left").join(titles(tokens), "page_id", "left").select("page_id", "title", "description", F.col("language.v").alias("language"), F.col("canonical.v").alias("canonical"), "robots", "viewport", "generator", "image")
+    joined = others.join(by_page, "page_id", "left").join(titles(tokens), "page_id", "left")
+    return joined.select("page_id", "title", "description", F.col("language.v").alias("language"), absolute_url(F.col("canonical.v"), F.col("canonical.base")).alias("canonical"), "robots", "viewport", "generator", absolute_url(F.col("image.content"), F.col("image.base")).alias("image"))
 
 
 def properties(tokens: DataFrame) -> DataFrame:
-    """Meta properties by lower-cased name, the first of each, at most fifty."""
-    rows = elements(tokens).where((F.col("tag") == "meta") & ~blank(attr("property")))
-    made = rows.select("page_id", "seq", F.lower(js_trim(attr("property"))).alias("name"), F.coalesce(attr("content"), F.lit("")).alias("content"))
-    return first_rows(first_rows(made, 1, "page_id", "name").drop("place"), LIMITS["properties"], "page_id")
+    """Meta properties by lower-cased name, the first of each that has a content (which may be empty), at most fifty."""
+    rows = elements(tokens).where((F.col("tag") == "meta") & (attr("property") != "") & attr("content").isNotNull())
+    made = rows.select("page_id", "seq", F.lower(attr("property")).alias("name"), attr("content").alias("content"))
+    found = made.groupBy("page_id", "name").agg(F.min_by("content", "seq").alias("content"), F.min("seq").alias("seq"))
+    return first_rows(found, LIMITS["properties"], "page_id")
 
 
-def headings(tokens: DataFrame) -> DataFrame:
-    rows = with_hidden(tokens)
-    texts = last_opened_text(rows, HEADINGS, F.lit(True)).withColumn("text", clean_text(F.col("text"))).where("text <> ''")
-    here = elements(rows).where(F.col("tag").isin(HEADINGS)).select("page_id", "node", F.substring("tag", 2, 1).cast("int").alias("level"), "hidden")
-    made = here.join(texts, ["page_id", "node"]).withColumnRenamed("done", "seq")
+def headings(tokens: DataFrame, rule=None) -> DataFrame:
+    told = F.struct(F.substring("tag", 2, 1).cast("int").alias("level"), "hidden")
+    found = opened_with_text(with_hidden(tokens, rule), HEADINGS, F.lit(True), "heading", told)
+    made = found.select("page_id", F.col("done").alias("seq"), clean_text(F.col("words")).alias("text"), "opened.*").where("text <> ''")
     return first_rows(made, LIMITS["headings"], "page_id").select("page_id", "place", "level", "text", "hidden")
 
 
@@ -268,9 +303,9 @@ def collected_text(tokens: DataFrame, found: DataFrame) -> DataFrame:
     return found.select("page_id", "node").join(texts, ["page_id", "node"], "left").select("page_id", "node", clean_text(F.coalesce("text", F.lit(""))).alias("text"))
 
 
-def select(tokens: DataFrame, wanted: dict[str, str]) -> DataFrame:
+def select(tokens: DataFrame, wanted: dict[str, str], rule=None) -> DataFrame:
     """Elements by named selectors, at most 200 each: tag, attributes, text up to 2000 characters."""
-    rows = with_hidden(tokens)
+    rows = with_hidden(tokens, rule)
     out = None
     for key, selector in wanted.items():
         hit = first_rows(selectors.match(elements(rows), selector), LIMITS["selected"], "page_id")
@@ -344,14 +379,12 @@ def positions(tokens: DataFrame) -> DataFrame:
     """
     names = F.concat_ws(" ", attr("class"), attr("id"))
     hides = hides_content(F.col("tag"), F.col("attrs")) | F.coalesce(attr("class").rlike(HIDDEN_CLASS), F.lit(False)) | F.col("tag").isin(SKIPPED)
-    rows = marked_inside(tokens, hides, "_hidden")
-    rows = marked_inside(rows, names.rlike(CAROUSEL), "_carousel")
-    rows = marked_inside(rows, (F.col("tag") == "header") | names.rlike(FIXED), "_fixed")
-    rows = marked_inside(rows, F.col("tag").isin("nav", "header"), "_nav")
-    length = F.when((F.col("kind") == TEXT) & ~F.col("_hidden") & ~F.col("_nav"), utf16_length(js_trim(F.regexp_replace("text", f"[{JS_WS}]+", " ")))).otherwise(0)
-    image = F.when((F.col("kind") == ENTER) & (F.col("tag") == "img") & ~F.col("_hidden"), 1).otherwise(0)
+    length = F.when(F.col("kind") == TEXT, utf16_length(js_trim(F.regexp_replace("text", f"[{JS_WS}]+", " ")))).otherwise(0)
+    rows = tokens.select("page_id", "seq", "kind", "node", "tag", "close", length.alias("_length"), hides.alias("_hides"), names.rlike(CAROUSEL).alias("_slides"), ((F.col("tag") == "header") | names.rlike(FIXED)).alias("_stays"), F.col("tag").isin("nav", "header").alias("_leads"))
+    rows = rows.select("*", standing_in(F.col("_hides")).alias("_hidden"), standing_in(F.col("_slides")).alias("_carousel"), standing_in(F.col("_stays")).alias("_fixed"), standing_in(F.col("_leads")).alias("_nav"))
+    rows = rows.withColumn("_n", F.when(~F.col("_hidden") & ~F.col("_nav"), F.col("_length")).otherwise(0)).withColumn("_i", F.when((F.col("kind") == ENTER) & (F.col("tag") == "img") & ~F.col("_hidden"), 1).otherwise(0))
     before = _in_order().rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_n", length).withColumn("_i", image).withColumn("text_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("images_before", F.coalesce(F.sum("_i").over(before), F.lit(0))).withColumn("total", F.sum("_n").over(_page()))
+    rows = rows.withColumn("text_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("images_before", F.coalesce(F.sum("_i").over(before), F.lit(0))).withColumn("total", F.sum("_n").over(_page()))
     place = (
         F.when(F.col("_hidden"), "hidden").when(F.col("_carousel"), "unknown").when((F.col("text_before") < 200) & (F.col("images_before") == 0), "first-screen")
         .when(F.col("_fixed"), "unknown").when((F.col("text_before") >= 1500) & (F.col("text_before") >= 0.25 * F.col("total")), "below").otherwise("unknown")

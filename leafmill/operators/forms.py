@@ -17,8 +17,8 @@ from leafmill.operators.tokenizer import ENTER, EXIT, TEXT, elements
 BUTTONS = ("submit", "button", "reset", "image")
 
 
-def forms(tokens: DataFrame) -> DataFrame:
-    rows = with_base(with_hidden(tokens))
+def forms(tokens: DataFrame, rule=None) -> DataFrame:
+    rows = with_base(with_hidden(tokens, rule))
     here = elements(rows).where((F.col("tag") == "form") & ~within("form"))
     method = F.lower(js_trim(F.coalesce(attr("method"), F.lit(""))))
     made = here.select("page_id", "seq", "node", F.when(blank(attr("action")), F.col("url")).otherwise(absolute_url(attr("action"), F.col("base"))).alias("action"), F.when(method.isin("post", "dialog"), method).otherwise("get").alias("method"), F.nullif(attr("id"), F.lit("")).alias("id"), F.nullif(attr("name"), F.lit("")).alias("name"), "hidden")

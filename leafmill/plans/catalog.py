@@ -35,9 +35,24 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 # ---- inputs
 
 
+#: Repeated pages that are named in a broadcast; more are joined by their ids.
+MOST_NAMED = 100_000
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored pages, a page delivered twice once."""
-    return table(spark, sf_dir, "pages").select("page_id", "url", "html").dropDuplicates(["page_id"])
+    """Stored pages, a page delivered twice once.
+
+    Ids alone tell which pages are repeated, so no source is shuffled: of a repeated page one stored row is named, by file
+    and row, and its other rows are left out by a broadcast, or by a join on the id if too many pages are repeated.
+    """
+    stored = table(spark, sf_dir, "pages").select("page_id", "url", "html", F.struct("_metadata.file_path", "_metadata.row_index").alias("at"))
+    repeated = stored.groupBy("page_id").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("page_id", "first")
+    named = repeated.limit(MOST_NAMED + 1).collect()
+    if len(named) > MOST_NAMED:
+        marked = stored.join(repeated.hint("merge"), "page_id", "left")
+    else:
+        marked = stored.join(F.broadcast(spark.createDataFrame(named, repeated.schema)), "page_id", "left")
+    return marked.where("first IS NULL OR at = first").select("page_id", "url", "html")
 
 
 def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,22 +171,22 @@ def header_charset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_A + f"SELECT page_id, url, arg_min(text, k) AS text, count(*)::INT AS link_count, {_kind('url', 'any_value(page_url)')} AS kind FROM l WHERE url <> '' GROUP BY page_id, url")
 def links_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.links(kept_tokens(spark, sf_dir)).select("page_id", "url", "text", "link_count", "kind")
+    return facets.links(page_tokens(spark, sf_dir)).select("page_id", "url", "text", "link_count", "kind")
 
 
 @query(_A + f", d AS (SELECT page_id, url, {_kind('url', 'any_value(page_url)')} AS kind FROM l WHERE url <> '' GROUP BY page_id, url) SELECT kind, count(*) AS n FROM d GROUP BY kind")
 def links_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.links(kept_tokens(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
+    return facets.links(page_tokens(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(_A + f", d AS (SELECT page_id, url, {_kind('url', 'any_value(page_url)')} AS kind FROM l WHERE url <> '' GROUP BY page_id, url) SELECT page_id, url FROM d WHERE kind = 'external' AND NOT regexp_matches(regexp_replace(url, '[?#].*$', ''), '(?i)\\.(?:{_EXT})$')")
 def link_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.links(kept_tokens(spark, sf_dir), ["external"], resources=False).select("page_id", "url")
+    return facets.links(page_tokens(spark, sf_dir), ["external"], resources=False).select("page_id", "url")
 
 
 @query(_A + ", d AS (SELECT page_id, url, count(*) AS n, min(k) AS first FROM l WHERE url <> '' GROUP BY page_id, url) SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, first)::INT AS place FROM d")
 def link_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.links(kept_tokens(spark, sf_dir)).select("page_id", "url", "place")
+    return facets.links(page_tokens(spark, sf_dir)).select("page_id", "url", "place")
 
 
 def _stored_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -419,7 +434,7 @@ def sel_descendant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"WITH {_P} SELECT page_id, 1::INT AS level, {_clean(_decode(_H1))} AS text FROM p WHERE {_clean(_decode(_H1))} <> ''")
 def context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.headings(facets.in_context(kept_tokens(spark, sf_dir), "article")).select("page_id", "level", "text")
+    return facets.headings(facets.in_context(page_tokens(spark, sf_dir), "article")).select("page_id", "level", "text")
 
 
 @query(rf"WITH {_P} SELECT page_id, 'head' AS key, 'h1' AS tag, {_clean(_decode(_H1))} AS text FROM p WHERE html LIKE '%<h1>%'")
