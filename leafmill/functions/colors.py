@@ -48,6 +48,7 @@ def _hsl(h: float, s: float, light: float) -> tuple[float, float, float]:
 
 
 def _oklab(light: float, a: float, b: float) -> tuple[float, float, float]:
+    # The matrices of OKLab.
     lms = [(light + x * a + y * b) ** 3 for x, y in ((0.3963377774, 0.2158037573), (-0.1055613458, -0.0638541728), (-0.0894841775, -1.2914855480))]
     rows = ((4.0767416621, -3.3077115913, 0.2309699292), (-1.2684380046, 2.6097574011, -0.3413193965), (-0.0041960863, -0.7034186147, 1.7076147010))
 
@@ -91,12 +92,27 @@ def parse(value: str) -> tuple[float, float, float, float] | None:
     return (*out, alpha) if all(map(math.isfinite, out)) else None
 
 
-_TOKEN = re.compile(r"#[0-9a-fA-F]{3,8}\b|(?:rgba?|hsla?|oklch|oklab)\([^()]*\)|(?<![\w#.-])[a-zA-Z]+(?![\w(.-])")
+# What may be a colour in a value, with the borders of words that the results depend on.
+_TOKEN = re.compile(r"#[\da-f]{3,8}\b|\b(?:rgba?|hsla?|oklch|oklab)\([^()]*\)|\b[a-z]+\b", re.I | re.A)
+
+
+def _found(value: str) -> list[tuple[str, tuple[float, float, float, float]]]:
+    """Colour tokens of a value as written and what they are, bare words only if they are named colours."""
+    read = ((t, parse(t)) for t in _TOKEN.findall(value) if "(" in t or t[0] == "#" or t.lower() in NAMED)
+    return [(t, rgb) for t, rgb in read if rgb is not None]
 
 
 def find(value: str) -> list[str]:
-    """Colour tokens of a value as written, bare words only if they are named colours."""
-    return [t for t in _TOKEN.findall(value) if (t.lower() in NAMED if t[0].isalpha() and "(" not in t else parse(t) is not None)]
+    return [t for t, _ in _found(value)]
+
+
+def found(value: str) -> list[tuple[str, float]]:
+    """The colours of a value as ``#rrggbb`` with their alpha."""
+    return [(hex_of(rgb), rgb[3]) for _, rgb in _found(value)]
+
+
+def hex_of(rgb: tuple[float, ...]) -> str:
+    return "#" + "".join(f"{math.floor(c + 0.5):02x}" for c in rgb[:3])
 
 
 @F.pandas_udf(RGB)
@@ -118,9 +134,10 @@ def to_hex(rgb: Column) -> Column:
 
 def _lab(rgb: Column) -> tuple[Column, Column, Column]:
     line = [F.when(rgb[c] / 255 <= 0.04045, rgb[c] / 255 / 12.92).otherwise(F.pow((rgb[c] / 255 + 0.055) / 1.055, 2.4)) for c in "rgb"]
-    rows = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041))
+    # The matrix of sRGB to XYZ, the white point D65 and the bend of Lab, rounded as the results need them.
+    rows = ((0.4124, 0.3576, 0.1805), (0.2126, 0.7152, 0.0722), (0.0193, 0.1192, 0.9505))
     xyz = [sum(k * c for k, c in zip(r, line, strict=True)) / w for r, w in zip(rows, (0.95047, 1.0, 1.08883), strict=True)]
-    f = [F.when(v > 216 / 24389, F.cbrt(v)).otherwise((24389 / 27 * v + 16) / 116) for v in xyz]
+    f = [F.when(v > 0.008856, F.cbrt(v)).otherwise(7.787 * v + 16 / 116) for v in xyz]
     return 116 * f[1] - 16, 500 * (f[0] - f[1]), 200 * (f[1] - f[2])
 
 

@@ -144,6 +144,9 @@ def _absolute(url: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([None if u is None else absolute_one(u, b) for u, b in zip(url, base, strict=True)], dtype=object)
 
 
+_absolute = _absolute.asNondeterministic()  # else a filter on the result would have it computed twice
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def absolute_urls(urls: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([None if us is None else [absolute_one(u, b) for u in us] for us, b in zip(urls, base, strict=True)], dtype=object)

@@ -723,11 +723,17 @@ def font_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return css.font_faces(css.declarations(_chains(spark, sf_dir))).select("sheet_id", "family", "src")
 
 
-@query("SELECT p_partkey, round(abs(116 * (CASE WHEN y > 216.0/24389 THEN cbrt(y) ELSE (24389.0/27*y+16)/116 END) - 16), 3) AS distance FROM (SELECT p_partkey, CASE WHEN p_size/255 <= 0.04045 THEN p_size/255/12.92 ELSE pow((p_size/255+0.055)/1.055, 2.4) END AS y FROM part)")
+_LIN = lambda c: f"(CASE WHEN {c} / 255.0 <= 0.04045 THEN {c} / 255.0 / 12.92 ELSE pow(({c} / 255.0 + 0.055) / 1.055, 2.4) END)"
+_BEND = lambda v: f"(CASE WHEN {v} > 0.008856 THEN cbrt({v}) ELSE 7.787 * {v} + 16.0 / 116 END)"
+
+
+@query(f"""WITH c AS (SELECT p_partkey, {_LIN("p_size")} AS r, {_LIN("(p_partkey % 256)")} AS g, {_LIN("7")} AS b FROM part),
+x AS (SELECT p_partkey, {_BEND("((r * 0.4124 + g * 0.3576 + b * 0.1805) / 0.95047)")} AS x, {_BEND("(r * 0.2126 + g * 0.7152 + b * 0.0722)")} AS y, {_BEND("((r * 0.0193 + g * 0.1192 + b * 0.9505) / 1.08883)")} AS z FROM c)
+SELECT p_partkey, round(sqrt(pow(116 * y - 16, 2) + pow(500 * (x - y), 2) + pow(200 * (y - z), 2)), 3) AS distance FROM x""")
 def color_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of greys to black, which is their lightness."""
-    grey = F.concat(F.lit("rgb("), F.concat_ws(",", "p_size", "p_size", "p_size"), F.lit(")"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(colors.color_distance(colors.parse_color(grey), colors.parse_color(F.lit("black"))), 3).alias("distance"))
+    """Distance of colours to black, whose place in Lab is zero."""
+    color = F.concat(F.lit("rgb("), F.concat_ws(",", "p_size", F.col("p_partkey") % 256, F.lit(7)), F.lit(")"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(colors.color_distance(colors.parse_color(color), colors.parse_color(F.lit("black"))), 3).alias("distance"))
 
 
 @query("SELECT event_id AS page_id, 'A' AS component, (event_id % 2 = 0) AS server_rendered, length(replace(replace(props, '&', '&amp;'), '\"', '&quot;'))::INT AS props_bytes FROM events WHERE props NOT LIKE '%<%' AND props NOT LIKE '%''%'")

@@ -159,7 +159,7 @@ def test_css(spark):
     decls = css.declarations(sheet)
     assert decls.where("element = 'p#x'").first().value == "blue"
     assert css.variables(decls).where("name = '--a'").first().uses == 1
-    assert css._substitute("var(--a) var(--c, x(1, 2))", {"--a": "var(--b,1)", "--b": "var(--a)"}) == " x(1, 2)"
+    assert css.Variables({"--a": "var(--b,1)", "--b": "var(--a)"}).put("var(--a) var(--c, x(1, 2))") == " x(1, 2)"
     assert css.fonts(decls).count() == 1
 
 
