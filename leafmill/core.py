@@ -13,7 +13,9 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 
@@ -42,3 +44,31 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/leafmill/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Repeated keys that are named in a broadcast; more are joined.
+MOST_NAMED = 100_000
+
+
+def once(df: DataFrame, *keys: Column) -> DataFrame:
+    """``df`` with one row for each key; rows whose key is null all stay.
+
+    For stored tables keys alone tell which rows are repeated, so no whole row is shuffled: of a repeated key one stored row
+    is named, by file and row, and the others are left out by a broadcast, or by a join on the key if too many are repeated.
+    """
+    named_keys = [k.alias(f"_key{i}") for i, k in enumerate(keys)]
+    names = [f"_key{i}" for i in range(len(keys))]
+    try:
+        stored = df.select("*", *named_keys, F.struct("_metadata.file_path", "_metadata.row_index").alias("_at"))
+    except AnalysisException:  # not read from files
+        keyed = df.select("*", *named_keys)
+        whole = keyed.dropDuplicates(names).where(" AND ".join(f"{n} IS NOT NULL" for n in names))
+        return whole.unionByName(keyed.where(" OR ".join(f"{n} IS NULL" for n in names))).drop(*names)
+    counted = stored.groupBy(*names).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    repeated = counted.where("_n > 1").select(*names, "_first")
+    few = repeated.limit(MOST_NAMED + 1).collect()
+    if len(few) > MOST_NAMED:
+        marked = stored.join(repeated.hint("merge"), names, "left")
+    else:
+        marked = stored.join(F.broadcast(df.sparkSession.createDataFrame(few, repeated.schema)), names, "left")
+    return marked.where("_first IS NULL OR _at = _first").drop(*names, "_at", "_first")

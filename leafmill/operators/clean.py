@@ -5,16 +5,20 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from html.entities import name2codepoint
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.urls import absolute_one
-from leafmill.operators.tokenizer import ENTER, EXIT, TEXT, events
+from leafmill.functions.urls import absolute_one, kind_of, resolve_one, resource_of
+from leafmill.operators.selectors import CONSENT, matching
+from leafmill.operators.tokenizer import ENTER, EXIT, TEXT, VOID, attributes, events
 
 _HYPHENS = re.compile("\u00ad|&shy;|&#0*173;|&#x0*ad;", re.I)
 _METADATA = re.compile(r"8BIM|Exif|Photoshop 3\.0|Adobe XMP Core|xmpmeta|rdf:RDF|xpacket", re.I)
+#: Metadata for which a comment goes in any case.
+_COMMENT_DATA = re.compile(r"xpacket|xmpmeta|rdf:RDF|Adobe XMP Core|Exif|8BIM", re.I)
 _READER_CLASSES = frozenset(("screen-reader-text", "sr-only", "visually-hidden", "skip-link"))
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 
@@ -43,54 +47,55 @@ class Cleaning:
     classes: bool = False
     ids: bool = False
     links: tuple[str, ...] | None = None  # kinds of links to keep; others become their text
-    context: str | None = None  # tag, .class or #id outside which elements are unwrapped and texts dropped
+    resources: bool = True  # whether links to downloads are kept
+    context: str | None = None  # selectors outside whose elements elements are unwrapped and texts dropped; comments stay
 
 
-def _simple(selector: str, tag: str, attrs: dict[str, str]) -> bool:
-    m = re.fullmatch(r"([\w-]+)?(?:#([\w-]+))?(?:\.([\w-]+))?(?:\[([\w-]+)(?:([\^*]?=)'([^']*)'(?: (i))?)?\])?", selector)
-    if not m:
-        raise ValueError(f"unsupported selector: {selector!r}")
-    if m[1] and m[1].lower() != tag or m[2] and attrs.get("id") != m[2] or m[3] and m[3] not in attrs.get("class", "").split():
-        return False
-    if m[4]:
-        value = attrs.get(m[4])
-        if value is None:
-            return False
-        wanted = m[6]
-        if m[7]:
-            value, wanted = value.lower(), wanted.lower()
-        if m[5] == "^=":
-            return value.startswith(wanted)
-        return wanted in value if m[5] == "*=" else wanted is None or value == wanted
-    return True
+_REFERENCE = re.compile(r"&(?:#(\d+)|#x([\da-f]+)|([a-z]+\d?));", re.I)
+#: The named characters of HTML 4 and the apostrophe.
+_NAMES = name2codepoint | {"apos": 39}
+
+
+def decode(text: str) -> str:
+    """References in an attribute that is judged: numbers and the names of HTML 4, each with its semicolon; others stay."""
+
+    def one(m: re.Match) -> str:
+        code = int(m[1]) if m[1] else int(m[2], 16) if m[2] else _NAMES.get(m[3])
+        return m[0] if code is None else chr(code) if 0 < code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else "\ufffd"
+
+    return _REFERENCE.sub(one, text) if "&" in text else text
+
+
+def _written(html: str, start: int, stop: int, name: str) -> str | None:
+    """An attribute of the tag between two places, decoded as above."""
+    tag = re.match(r"<[^\s/>]+", html[start:stop])
+    return attributes(html[start + tag.end() : stop].removesuffix(">"), decode).get(name)
 
 
 def clean(html: str, url: str, what: Cleaning) -> str:
     """The page with the wanted cuts made."""
-    from leafmill.operators.selectors import CONSENT
-
     if not html.strip():
         return ""
     found = events(html)
     cuts: list[tuple[int, int, str]] = []  # start, stop, replacement
     ends = {e[1]: e for e in found if e[0] == EXIT}
-    base = url
-    for e in found:
-        if e[0] == ENTER and e[2] == "base" and e[3].get("href", "").strip():
-            base = absolute_one(e[3]["href"], url)
+    judged, base = what.links is not None or not what.resources, url
+    for e in found if judged else ():
+        if e[0] == ENTER and e[2] == "base" and (href := _written(html, e[9], e[10], "href")) is not None and (to := resolve_one(href, url)):
+            base = to
             break
-    inside_context: set[int] = set()
-    for e in found:
-        if e[0] == ENTER and what.context and (_simple(what.context, e[2], e[3]) or any(k in inside_context for k in e[6])):
-            inside_context.add(e[1])
-    gone: set[int] = set()
-    for kind, node, tag, attrs, text, _, inside, _, _, start, stop in found:
-        if any(k in gone for k in inside) or kind == EXIT:
+    context = matching(found, what.context) if what.context else set()
+    unwanted = matching(found, ", ".join(CONSENT)) if what.consent else set()
+    gone, within, last = -1, -1, 0  # event at which what is taken out, or what is in the context, ends
+    closing = {e[1]: k for k, e in enumerate(found) if e[0] == EXIT}
+    for at, (kind, node, tag, attrs, _, _, _, _, _, start, stop) in enumerate(found):
+        if at <= gone or kind == EXIT:
             continue
+        if node in context and kind == ENTER and tag not in VOID:  # nothing is inside the others
+            within = max(within, closing[node])
+        outside = bool(what.context) and at > within
         if kind == TEXT:
-            if what.context and not any(k in inside_context for k in inside):
-                cuts.append((start, stop, ""))
-            elif looks_binary(html[start:stop]):
+            if outside or looks_binary(html[start:stop]):
                 cuts.append((start, stop, ""))
             elif what.hyphenation and tag not in ("script", "style") and _HYPHENS.search(html[start:stop]):
                 cuts.append((start, stop, _HYPHENS.sub("", html[start:stop])))
@@ -100,14 +105,15 @@ def clean(html: str, url: str, what: Cleaning) -> str:
         hidden = (attrs.get("aria-hidden") == "true" or "inert" in attrs) and tag != "main" and attrs.get("role") != "main"
         if (
             ":" in tag or what.scripts and tag == "script" or what.styles and tag in ("style", "svg") or what.images and tag in ("img", "picture", "figure") or what.meta and tag == "meta"
-            or what.link_tags and tag == "link" or what.hyphenation and tag == "wbr" or what.aria_hidden and (hidden or classes & _READER_CLASSES) or what.consent and any(_simple(s, tag, attrs) for s in CONSENT)
+            or what.link_tags and tag == "link" or what.hyphenation and tag == "wbr" or what.aria_hidden and (hidden or classes & _READER_CLASSES) or node in unwanted
         ):
-            gone.add(node)
+            gone = closing[node]
             cuts.append((start, end[10], ""))
             continue
-        unwrap = bool(what.context) and node not in inside_context
-        if what.links is not None and tag == "a" and attrs.get("href"):
-            unwrap = unwrap or _kind(attrs["href"], absolute_one(attrs["href"], base), base) not in what.links
+        unwrap = outside
+        if judged and tag == "a" and (href := _written(html, start, stop, "href")):
+            to = absolute_one(href, base)
+            unwrap = unwrap or what.links is not None and kind_of(href, to, url) not in what.links or not what.resources and resource_of(to)
         if unwrap:
             cuts.append((start, stop, ""))
             if end[9] < end[10]:
@@ -119,9 +125,11 @@ def clean(html: str, url: str, what: Cleaning) -> str:
             for name in drop:
                 source = re.sub(rf"""\s+{re.escape(name)}(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/>])""", "", source, count=1, flags=re.I)
             cuts.append((start, stop, source))
+    raw = [(e[9], e[10]) for e in found if e[0] == TEXT]
     for m in _COMMENT.finditer(html):
-        within_raw = any(e[0] == TEXT and e[9] <= m.start() < e[10] for e in found)
-        if not within_raw and (what.comments or what.context or looks_binary(m[0])):
+        while last < len(raw) and raw[last][1] <= m.start():
+            last += 1
+        if (last == len(raw) or m.start() < raw[last][0]) and (what.comments or _COMMENT_DATA.search(m[0])):
             cuts.append((m.start(), m.end(), ""))
     out, at = [], 0
     for start, stop, new in sorted(cuts):
@@ -131,23 +139,6 @@ def clean(html: str, url: str, what: Cleaning) -> str:
     return "".join([*out, html[at:]])
 
 
-def _kind(written: str, resolved: str, base: str) -> str:
-    """Kind of a link, for use outside of columns."""
-    if not re.match(r"https?:", resolved):
-        return "special"
-    if re.match(r"\s*/?#", written) and resolved.split("#")[0] == base.split("#")[0]:
-        return "anchor"
-    site = lambda u: _site(re.sub(r"^https?://(?:[^/?#@]*@)?([^/?#:]*).*", r"\1", u, flags=re.I | re.S))
-    return "internal" if site(resolved) == site(base) else "external"
-
-
-def _site(host: str) -> str:
-    from leafmill.functions.urls import SECOND_LEVEL
-
-    labels = host.lower().removeprefix("www.").split(".")
-    return ".".join(labels[-3:] if len(labels) > 2 and labels[-2] in SECOND_LEVEL else labels[-2:])
-
-
 def clean_pages(pages: DataFrame, **what) -> DataFrame:
     """``(page_id, html)`` of ``pages(page_id, url, html)`` after ``Cleaning(**what)``."""
     wanted = asdict(Cleaning(**what))

@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.urls import absolute_one
+from leafmill.operators.selectors import matching
 from leafmill.operators.tokenizer import ENTER, EXIT, TEXT, events
 
 _SKIPPED = frozenset("head noscript script style svg template title button select option textarea".split())
 _BLOCK = frozenset("address article aside blockquote dd details div dl dt fieldset figcaption figure footer form header hr main nav p section summary table ul ol".split())
 
 
-def to_markdown(html: str, url: str, exclude: frozenset[str] = frozenset(), isolate_main: bool = False, origin: str | None = None) -> str:
+def to_markdown(html: str, url: str, exclude: str | None = None, isolate_main: bool = False, origin: str | None = None) -> str:
     """Headings, paragraphs, links, images, emphasis, code, lists, quotes and tables of a page."""
     found = events(html or "")
     base = url
@@ -25,6 +26,7 @@ def to_markdown(html: str, url: str, exclude: frozenset[str] = frozenset(), isol
             base = absolute_one(e[3]["href"], url)
             break
     base = origin or base
+    excluded = matching(found, exclude) if exclude else set()
     mains = {e[1] for e in found if e[0] == ENTER and e[2] == "main"} if isolate_main else set()
     out: list[str] = []
     opened: dict[int, tuple[int, dict]] = {}
@@ -47,7 +49,7 @@ def to_markdown(html: str, url: str, exclude: frozenset[str] = frozenset(), isol
 
     for kind, node, tag, attrs, text, path, inside, *_ in found:
         names = set(path) | {tag}
-        if names & (_SKIPPED | exclude) or mains and node not in mains and not mains & set(inside):
+        if names & _SKIPPED or node in excluded or not excluded.isdisjoint(inside) or mains and node not in mains and not mains & set(inside):
             continue
         if kind == TEXT:
             if "pre" in names:
@@ -116,11 +118,12 @@ def to_markdown(html: str, url: str, exclude: frozenset[str] = frozenset(), isol
 
 
 def markdown(pages: DataFrame, exclude: tuple[str, ...] = (), isolate_main: bool = False, origin: str | None = None) -> DataFrame:
-    """``(page_id, markdown)``; ``exclude`` names tags to leave out, ``origin`` replaces the base of addresses."""
+    """``(page_id, markdown)``; ``exclude`` lists selectors of what to leave out, ``isolate_main`` keeps the main element only
+    where there is one, ``origin`` replaces the base of addresses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [to_markdown(h, u or "", frozenset(exclude), isolate_main, origin) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            texts = [to_markdown(h, u or "", ", ".join(exclude) or None, isolate_main, origin) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["page_id", "markdown"])
 
     return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(run, "page_id bigint, markdown string")

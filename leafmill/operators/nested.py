@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.core import table
+from leafmill.core import once, table
 
 OCCURRENCE = "owner_id bigint, path string, parent_path string, member string, ordinal int, depth int, object_id string, parent_object_id string, body string"
 _SPACE = re.compile(r"[ \t\n\r]*")
@@ -164,14 +164,24 @@ def _with_ids(value: dict, by_object: dict[int, str]) -> dict:
 
 def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("owner_id", pa.int64()), ("path", pa.string()), ("parent_path", pa.string()), ("member", pa.string()), ("ordinal", pa.int32()), ("depth", pa.int32()), ("object_id", pa.string()), ("parent_object_id", pa.string()), ("body", pa.string())])
+    told: set[str] = set()  # identities whose body the task has given
+
+    def body_once(row: tuple) -> tuple:
+        if row[6] in told:
+            return (*row[:8], None)
+        told.add(row[6])
+        return row
+
     for batch in batches:
+        if len(told) > 200_000:
+            told.clear()
         rows: list[tuple] = []
         for owner, items, invalid in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for i, text in enumerate(items or ()):
-                rows += [(owner, *o[:3], i if o[4] == 0 and not o[1] else o[3], *o[4:]) for o in occurrences(_read(text), f"items[{i}]")]
+                rows += [body_once((owner, *o[:3], i if o[4] == 0 and not o[1] else o[3], *o[4:])) for o in occurrences(_read(text), f"items[{i}]")]
             for i, block in enumerate(invalid or ()):
                 body = json.dumps(block, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-                rows.append((owner, f"invalid[{i}]", "", "", i, 0, _identity("invalid" + body), None, body))
+                rows.append(body_once((owner, f"invalid[{i}]", "", "", i, 0, _identity("invalid" + body), None, body)))
             if len(rows) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                 rows = []
@@ -180,14 +190,18 @@ def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def flatten(records: DataFrame, owner: str = "sd_id") -> DataFrame:
-    """One bridge row per object occurrence in ``records(owner, items, invalid)``; see ``OCCURRENCE``."""
-    once = records.select(F.col(owner).cast("bigint").alias("owner_id"), "items", "invalid").dropDuplicates(["owner_id", "items", "invalid"])
-    return once.mapInArrow(_flatten, OCCURRENCE)
+    """One bridge row per object occurrence in ``records(owner, items, invalid)``; see ``OCCURRENCE``.
+
+    A task gives the body of an object with its first occurrence only, so bodies do not move with every occurrence.
+    """
+    content = F.md5(F.to_json(F.struct("items", "invalid")).cast("binary"))
+    kept = once(records, F.coalesce(F.col(owner).cast("string"), F.lit("")), content).select(F.col(owner).cast("bigint").alias("owner_id"), "items", "invalid")
+    return kept.mapInArrow(_flatten, OCCURRENCE)
 
 
 def objects(bridge: DataFrame) -> DataFrame:
     """Every distinct object once: its id, canonical body, own type and number of occurrences."""
-    found = bridge.groupBy("object_id").agg(F.first("body").alias("body"), F.count("*").alias("n_occurrences"))
+    found = bridge.groupBy("object_id").agg(F.first("body", True).alias("body"), F.count("*").alias("n_occurrences"))
     return found.select("object_id", "body", F.get_json_object("body", "$.@type").alias("object_type"), "n_occurrences")
 
 
@@ -235,7 +249,14 @@ def _scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members(objects(flatten(table(spark, sf_dir, "page_items"))))
 
 
-QUERIES = {"p5_found": found, "p5_objects": _objects, "p5_links": _links, "p5_members": _scalars}
+def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences of objects by type, counted from the objects that are stored once."""
+    stored = objects(flatten(table(spark, sf_dir, "page_items")))
+    broken = F.get_json_object("body", "$.index").isNotNull() & F.col("object_type").isNull()
+    return stored.groupBy(F.when(broken, "invalid").otherwise(F.col("object_type")).alias("object_type")).agg(F.sum("n_occurrences").alias("n_occurrences"))
+
+
+QUERIES = {"p5_found": found, "p5_objects": _objects, "p5_links": _links, "p5_members": _scalars, "p5_occurrences": _occurrences}
 
 _TREE = r"""
 WITH r AS (SELECT DISTINCT sd_id, items, invalid FROM page_items),
@@ -247,4 +268,13 @@ SELECT sd_id, path, CASE WHEN regexp_full_match(path, 'items(\[[0-9]+\])+') THEN
 UNION ALL
 SELECT sd_id, 'invalid[' || i || ']', '' FROM (SELECT sd_id, unnest(generate_series(0, len(invalid) - 1)) AS i FROM r WHERE len(invalid) > 0) q
 """
-SQL = {"p5_found": _TREE}
+_NODES = r"""
+WITH r AS (SELECT DISTINCT sd_id, items, invalid FROM page_items),
+n AS (SELECT sd_id, unnest(items) AS node FROM r)
+"""
+SQL = {
+    "p5_found": _TREE,
+    "p5_occurrences": _NODES + """, o AS (SELECT json_extract_string(t.value, '$."@type"') AS object_type FROM n, json_tree(n.node) t WHERE t.type = 'OBJECT')
+SELECT object_type, count(*) AS n_occurrences FROM o GROUP BY object_type
+UNION ALL SELECT 'invalid', sum(len(invalid))::BIGINT FROM r WHERE len(invalid) > 0 HAVING sum(len(invalid)) > 0""",
+}

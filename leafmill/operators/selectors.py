@@ -8,8 +8,9 @@ joins along the parent or the enclosing elements, always within a page. Unsuppor
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +61,12 @@ class Nth:
     a: int
     b: int
 
+    def holds(self, position: int) -> bool:
+        if self.a == 0:
+            return position == self.b
+        steps, rest = divmod(position - self.b, self.a)
+        return rest == 0 and steps >= 0
+
     def column(self, position: Column) -> Column:
         if self.a == 0:
             return position == self.b
@@ -201,6 +208,86 @@ def match(elements: DataFrame, selector: str) -> DataFrame:
     return elements.join(joined.distinct(), key, "left_semi")
 
 
+# The same selectors over the events of one page, for what edits pages: tests of (tag, attributes, position, position of type).
+Test = Callable[[str, dict, int, int], bool]
+
+
+def _attribute_test(source: str) -> Test:
+    m = _ATTR.match(source)
+    if not m:
+        raise ValueError(f"bad attribute selector: {source!r}")
+    name, sign = _unescape(m[1]).lower(), m[2]
+    wanted = _unescape(next((g for g in (m[3], m[4], m[5]) if g is not None), ""))
+    fold = str.lower if (m[6] or "").lower() == "i" else str
+    wanted = fold(wanted)
+    signs = {
+        None: lambda v: True, "=": lambda v: v == wanted, "|=": lambda v: v == wanted or v.startswith(wanted + "-"), "~=": lambda v: bool(wanted) and wanted in v.split(),
+        "^=": lambda v: bool(wanted) and v.startswith(wanted), "$=": lambda v: bool(wanted) and v.endswith(wanted), "*=": lambda v: bool(wanted) and wanted in v,
+    }
+    test = signs[sign]
+    return lambda tag, attrs, k, t: name in attrs and test(fold(attrs[name]))
+
+
+def _pseudo_test(source: str) -> Test:
+    name, mark, inner = source[1:].partition("(")
+    name, inner = name.lower(), inner[:-1] if mark else None
+    if name in ("first-child", "first-of-type") and inner is None:
+        return (lambda tag, attrs, k, t: k == 1) if name == "first-child" else (lambda tag, attrs, k, t: t == 1)
+    if name in ("nth-child", "nth-of-type") and inner is not None:
+        nth = parse_nth(inner)
+        return (lambda tag, attrs, k, t: nth.holds(k)) if name == "nth-child" else (lambda tag, attrs, k, t: nth.holds(t))
+    if name == "not" and inner is not None:
+        tests = [compound_test(s) for s in split_list(inner)]
+        return lambda *e: not any(test(*e) for test in tests)
+    raise ValueError(f"unsupported selector: {source!r}")
+
+
+@lru_cache(2000)
+def compound_test(source: str) -> Test:
+    """The test of a selector without combinators."""
+    at, tests = 0, []
+    while at < len(source):
+        m = _PART.match(source, at)
+        if not m or m.lastgroup in ("tag", "star") and at:
+            raise ValueError(f"unsupported selector: {source!r}")
+        kind, name = m.lastgroup, _unescape(m[0].lstrip("#.") if m.lastgroup in ("id", "cls") else m[0])
+        if kind == "tag":
+            tests.append(lambda tag, attrs, k, t, name=name.lower(): tag == name)
+        elif kind == "id":
+            tests.append(lambda tag, attrs, k, t, name=name: attrs.get("id") == name)
+        elif kind == "cls":
+            tests.append(lambda tag, attrs, k, t, name=name: name in attrs.get("class", "").split())
+        elif kind == "attr":
+            tests.append(_attribute_test(m[0]))
+        elif kind == "pseudo":
+            tests.append(_pseudo_test(m[0]))
+        at = m.end()
+    if not source:
+        raise ValueError("empty selector")
+    return lambda *e: all(test(*e) for test in tests)
+
+
+def matching(found: list[tuple], selector: str) -> set[int]:
+    """The nodes that a selector list matches among the events of a page (see ``tokenizer.events``)."""
+    chains = [[(c, compound_test(part)) for c, part in steps(s)] for s in split_list(selector)]
+    bare = [len(chain) > 1 or not re.match(r"(?:[\w-]*)[#.\[]", s) for chain, s in zip(chains, split_list(selector), strict=True)]
+    reached: list[list[set[int]]] = [[set() for _ in chain] for chain in chains]
+    out: set[int] = set()
+    for e in found:
+        if e[0] != 0:
+            continue
+        node, inside = e[1], e[6]
+        for chain, sets, may_be_bare in zip(chains, reached, bare, strict=True):
+            if not may_be_bare and not e[3]:
+                continue
+            for k, (combinator, test) in enumerate(chain):
+                if test(e[2], e[3], e[7], e[8]) and (k == 0 or (inside[-1:] and inside[-1] in sets[k - 1] if combinator == ">" else not sets[k - 1].isdisjoint(inside))):
+                    sets[k].add(node)
+            if node in sets[-1]:
+                out.add(node)
+    return out
+
+
 # The dialogs, banners and blockers of widespread consent tools.
 CONSENT = (
     "#BorlabsCookieBox", "[id^='brlbs-cmpnt']", "[class^='brlbs-cmpnt']", ".brlbs-cmpnt-dialog", "[consent-skip-blocker]", "#CybotCookiebotDialog", "#usercentrics-root",

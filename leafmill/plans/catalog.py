@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.core import materialize, table
+from leafmill.core import materialize, once, table
 from leafmill.functions import colors, register, text, urls
 from leafmill.operators import clean, css, facets, forms, jsonld, markdown, nested, record, selectors
 from leafmill.operators.tokenizer import elements, tokenize
@@ -35,24 +35,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 # ---- inputs
 
 
-#: Repeated pages that are named in a broadcast; more are joined by their ids.
-MOST_NAMED = 100_000
-
-
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored pages, a page delivered twice once.
-
-    Ids alone tell which pages are repeated, so no source is shuffled: of a repeated page one stored row is named, by file
-    and row, and its other rows are left out by a broadcast, or by a join on the id if too many pages are repeated.
-    """
-    stored = table(spark, sf_dir, "pages").select("page_id", "url", "html", F.struct("_metadata.file_path", "_metadata.row_index").alias("at"))
-    repeated = stored.groupBy("page_id").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("page_id", "first")
-    named = repeated.limit(MOST_NAMED + 1).collect()
-    if len(named) > MOST_NAMED:
-        marked = stored.join(repeated.hint("merge"), "page_id", "left")
-    else:
-        marked = stored.join(F.broadcast(spark.createDataFrame(named, repeated.schema)), "page_id", "left")
-    return marked.where("first IS NULL OR at = first").select("page_id", "url", "html")
+    """Stored pages, a page delivered twice once."""
+    return once(table(spark, sf_dir, "pages"), F.col("page_id")).select("page_id", "url", "html")
 
 
 def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
