@@ -742,8 +742,12 @@ def clean_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from leafmill.plans import cases  # noqa: F401  (adds its queries)
+
     return QUERIES | nested.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    from leafmill.plans import cases  # noqa: F401
+
     return SQL | nested.SQL
