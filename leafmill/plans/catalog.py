@@ -430,10 +430,10 @@ def select(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- hidden content, positions, head
 
 
-@query("WITH l AS (SELECT DISTINCT ON (link_id) * FROM page_links WHERE url LIKE 'https://%') SELECT page_id, url, bool_and(coalesce(hidden, false)) AS hidden FROM l GROUP BY page_id, url")
+@query("WITH l AS (SELECT DISTINCT ON (link_id) * FROM page_links WHERE url <> '') SELECT page_id, url, bool_and(coalesce(hidden, false)) AS hidden FROM l GROUP BY page_id, url")
 def hidden_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links inside and outside of hidden parts: an address is hidden if all its links are."""
-    rows = table(spark, sf_dir, "page_links").where("url LIKE 'https://%'").dropDuplicates(["link_id"])
+    rows = table(spark, sf_dir, "page_links").where("url <> ''").dropDuplicates(["link_id"])
     link = F.concat(F.lit('<a href="'), esc("url"), F.lit('">x</a>'))
     html = F.when(F.coalesce("hidden", F.lit(False)), F.concat(F.lit('<div><div style="x:y; Display : none">'), link, F.lit("</div></div>"))).otherwise(link)
     return facets.links(tokenize(rendered(rows, "link_id", html))).select("page_id", "url", "hidden")
@@ -548,9 +548,18 @@ def jsonld_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonld.structured_data(tokenize(_data_pages(spark, sf_dir))).where("kind = 'invalid'").select("page_id", "place")
 
 
-@query("SELECT event_id AS page_id, CASE event_id % 4 WHEN 0 THEN 'astro' WHEN 1 THEN 'next-pages' WHEN 2 THEN 'nuxt' ELSE 'angular' END AS framework, CASE event_id % 4 WHEN 0 THEN length(replace(replace(props, '&', '&amp;'), '\"', '&quot;')) WHEN 3 THEN 0 ELSE length(props) + CASE WHEN event_id % 4 = 2 THEN length('window.__NUXT__=') ELSE 0 END END::BIGINT AS payload_bytes FROM events WHERE props NOT LIKE '%<%' AND props NOT LIKE '%''%'")
+_ESCAPED = """length(replace(replace(replace(replace(replace(x, '&', '&amp;'), '"', '&quot;'), '''', '&#39;'), '<', '&lt;'), '>', '&gt;'))"""
+_X = "e AS (SELECT event_id AS page_id, props || '<a b=''c''>&\"' AS x FROM events)"
+
+
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads with all characters that are escaped."""
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("page_id"), F.concat("props", F.lit("<a b='c'>&\"")).alias("props"), F.lit(0).alias("o"))
+
+
+@query(f"WITH {_X} SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'astro' WHEN 1 THEN 'next-pages' WHEN 2 THEN 'nuxt' ELSE 'angular' END AS framework, CASE page_id % 4 WHEN 0 THEN {_ESCAPED} WHEN 3 THEN 0 ELSE length(x) + CASE WHEN page_id % 4 = 2 THEN length('window.__NUXT__=') ELSE 0 END END::BIGINT AS payload_bytes FROM e")
 def hydration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("props NOT LIKE '%<%' AND props NOT LIKE '%''%'").select(F.col("event_id").alias("page_id"), "props", F.lit(0).alias("o"))
+    rows = _payloads(spark, sf_dir)
     k = F.col("page_id") % 4
     html = (
         F.when(k == 0, F.concat(F.lit('<astro-island component-url="/_astro/A.js?x" props="'), esc("props"), F.lit('" ssr></astro-island>'))).when(k == 1, F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">'), "props", F.lit("</script>")))
@@ -721,9 +730,9 @@ def color_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(colors.color_distance(colors.parse_color(color), colors.parse_color(F.lit("black"))), 3).alias("distance"))
 
 
-@query("SELECT event_id AS page_id, 'A' AS component, (event_id % 2 = 0) AS server_rendered, length(replace(replace(props, '&', '&amp;'), '\"', '&quot;'))::INT AS props_bytes FROM events WHERE props NOT LIKE '%<%' AND props NOT LIKE '%''%'")
+@query(f"WITH {_X} SELECT page_id, 'A' AS component, (page_id % 2 = 0) AS server_rendered, {_ESCAPED}::INT AS props_bytes FROM e")
 def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("props NOT LIKE '%<%' AND props NOT LIKE '%''%'").select(F.col("event_id").alias("page_id"), "props", F.lit(0).alias("o"))
+    rows = _payloads(spark, sf_dir)
     html = F.concat(F.lit('<astro-island client="load" component-url="/_astro/A?x" props="'), esc("props"), F.when(F.col("page_id") % 2 == 1, '" ssr').otherwise('"'), F.lit("></astro-island>"))
     return jsonld.islands(tokenize(rendered(rows, "o", html))).select("page_id", "component", "server_rendered", "props_bytes")
 
