@@ -12,12 +12,14 @@ import re
 import shutil
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate results: the session's ``spark.checkpoint.dir``; a temporary one only where unset on one machine."""
+    """The folder for intermediate results: the session's ``spark.checkpoint.dir``, else the folder set for its checkpoints;
+    a temporary one only where both are unset on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and (found := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        base = found.get()
     if base:
         return base.rstrip("/")
     if not re.match(r"local(?:\[|$)", spark.sparkContext.master):
@@ -38,10 +43,30 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN[0]
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The application's own folder below the shared one; ``clean_up`` removes it, at the latest when Python ends."""
+    path = f"{shared_dir(spark)}/leafmill/{spark.sparkContext.applicationId}"
+    if path not in _WRITTEN:
+        if not _WRITTEN:
+            atexit.register(clean_up)
+        _WRITTEN[path] = spark
+    return path
+
+
+def clean_up() -> None:
+    """Remove what this process has written to the shared folder; results that were not read yet are lost with it."""
+    for path, spark in list(_WRITTEN.items()):
+        del _WRITTEN[path]
+        with suppress(Exception):  # the session may have ended
+            jvm = spark.sparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of it. Rows and column types stay as they are."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/leafmill/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{session_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.core import once, table
+from leafmill.core import once, session_dir, table
 from leafmill.functions import register, urls
 from leafmill.operators import clean, css, facets, jsonld, markdown, selectors
 from leafmill.operators.tokenizer import elements, tokenize
-from leafmill.plans.catalog import Query, esc, opt, pages, query, rendered
+from leafmill.plans.catalog import _P, SQL, Query, esc, opt, pages, query, rendered
+from leafmill.streaming import decoding
+from leafmill.streaming import pages as arrivals
 
 PAGE = "https://firma.example/a/"
 
@@ -280,3 +285,44 @@ def script_frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("page_id"), F.lit(0).alias("o"))
     html = F.concat(F.lit("<script>"), F.when(k == 0, "(self.__next_f=self.__next_f||[]).push([0])").when(k == 1, "{__sveltekit_1a2b = {base: ''}}").when(k == 2, "window.__remixContext = {}").otherwise("window.__NUXT__={}"), F.lit("</script>"))
     return jsonld.script_frameworks(tokenize(rendered(rows, "o", html))).select("page_id", "framework")
+
+
+# ---- streams
+
+
+def _streamed(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``make`` does to the stored pages as a stream, run until all are read."""
+    folder = f"{session_dir(spark)}/stream-{uuid4().hex[:12]}"
+    source = arrivals.once(arrivals.read_pages(spark, f"{sf_dir}/pages.parque[t]"))  # a pattern, as the table may be one file
+    made = make(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    made.awaitTermination()
+    return spark.read.schema(make(source).schema).parquet(f"{folder}/out")
+
+
+@query(rf"WITH {_P} SELECT page_id, md5(html) AS digest FROM p")
+def stream_decoder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a stream of chunks of 100 bytes, characters divided, decoded with state."""
+
+    def cut(source: DataFrame) -> DataFrame:
+        body = source.select("page_id", F.encode("html", "utf-8").alias("body"))
+        last = F.floor((F.octet_length("body") - 1) / 100).cast("int")
+        each = body.select("page_id", "body", last.alias("n"), F.explode(F.sequence(F.lit(0), last)).alias("chunk_seq"))
+        return decoding.decode_stream(each.select("page_id", "chunk_seq", F.substring("body", F.col("chunk_seq") * 100 + 1, F.lit(100)).alias("chunk"), F.lit("text/html").alias("content_type"), (F.col("chunk_seq") == F.col("n")).alias("last")))
+
+    return decoding.joined(_streamed(spark, sf_dir, cut)).select("page_id", F.md5("html").alias("digest"))
+
+
+@query(rf"WITH {_P} SELECT page_id, len(regexp_extract_all(html, '<[a-zA-Z]')) AS n_elements FROM p")
+def scan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a stream, read as they arrive."""
+    found = _streamed(spark, sf_dir, lambda source: elements(tokenize(source)).select("page_id", "node"))
+    return found.groupBy("page_id").agg(F.count("*").alias("n_elements"))
+
+
+@query(SQL["links_dedupe"])
+def parse_async(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of pages that arrive as a stream."""
+    folder = f"{session_dir(spark)}/stream-{uuid4().hex[:12]}"
+    source = arrivals.once(arrivals.read_pages(spark, f"{sf_dir}/pages.parque[t]"))  # a pattern, as the table may be one file
+    arrivals.link_stream(source, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("page_id", "url", "text", "link_count", "kind")

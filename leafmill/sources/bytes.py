@@ -44,14 +44,14 @@ def known_label(label: str | None) -> str | None:
 
 
 #: What the bytes from 0x80 to 0x9F mean; the five that mean nothing stay as they are.
-_CP1252 = {b: bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)}
+CP1252 = {b: bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)}
 
 
 def decode_one(body: bytes | None, declared: str | None, bom: str | None, meta: str | None) -> str:
     """The text of a page; wrong bytes become replacement characters, a byte order mark is dropped."""
     raw = bytes(body or b"")
     codec = known_label(bom) or known_label(declared) or known_label(meta) or "utf-8"
-    text = raw.decode("latin-1").translate(_CP1252) if codec == "cp1252" else raw.decode(codec, "replace")
+    text = raw.decode("latin-1").translate(CP1252) if codec == "cp1252" else raw.decode(codec, "replace")
     return text.removeprefix("\ufeff")
 
 
