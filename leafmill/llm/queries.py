@@ -22,7 +22,7 @@ def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = fields.records(spark, sf_dir, "Link.text", "Image.alt", "Meta.title")
-    mixed = materialize(skeleton.ambiguous(materialize(skeleton.with_skeleton(records), "p2-forms")).dropDuplicates(["field", "rec_id", "text"]), "p2-mixed")
+    mixed = materialize(skeleton.ambiguous(records).dropDuplicates(["field", "rec_id", "text"]), "p2-mixed")
     garbled = mojibake.detect(mixed, mojibake.fit(mojibake.distinct_texts(records))).select("field", "rec_id")
     return skeleton.lookalike_pairs(mixed.join(garbled, ["field", "rec_id"], "left_anti"))
 

@@ -20,16 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Letters and signs drawn like the ASCII character that follows the colon.
+from leafmill.core import materialize
+
+# Letters and signs that ordinary type draws like the character before the colon.
 LOOKALIKES = {
-    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ЕΕᎬ", "F": "Ϝ", "G": "ԌᏀ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈᎫͿ", "K": "КΚᏦ", "L": "Ꮮ",
-    "M": "МΜϺᎷ", "N": "ΝͶ", "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "R": "Ꭱ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "U": "Սᑌ", "V": "ѴᏙ", "W": "ԜᎳ", "X": "ХΧ", "Y": "ҮΥϒ", "Z": "ΖᏃ",
-    "a": "аɑ", "b": "Ьᖯ", "c": "сϲᴄ", "d": "ԁ", "e": "еҽ", "f": "ք", "g": "ɡց", "h": "һհ", "i": "іɩιӏ", "j": "јϳ", "k": "κк", "l": "ⅼ", "m": "ⅿ", "n": "ոո", "o": "оοօᴏ",
-    "p": "рρ", "q": "ԛգ", "r": "гᴦ", "s": "ѕꜱ", "t": "τ", "u": "υսᴜ", "v": "νѵᴠ", "w": "ԝաᴡ", "x": "хχ", "y": "уүγʏ", "z": "ᴢ",
-    "-": "‐‑‒−⁃﹣", "'": "ʹʼʽˈ", ":": "։ː∶", ".": "․", "/": "⁄∕", ";": ";", "!": "ǃ", "|": "∣ǀ", "~": "∼", "*": "∗", ",": "‚", "µ": "μ", "ß": "β",
+    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ЕΕᎬ", "G": "ԌᏀ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈᎫͿ", "K": "КΚᏦ", "L": "Ꮮ", "M": "МΜϺᎷ",
+    "N": "ΝͶ", "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "R": "Ꭱ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "V": "ѴᏙ", "W": "ԜᎳ", "X": "ХΧ", "Y": "ҮΥ", "Z": "ΖᏃ", "a": "аɑ",
+    "b": "Ьᖯ", "c": "сϲᴄ", "d": "ԁ", "e": "еҽ", "f": "ք", "g": "ɡց", "h": "һհ", "i": "іӏ", "j": "јϳ", "l": "ⅼ", "m": "ⅿ", "n": "ո", "o": "оοօᴏ",
+    "p": "рρ", "q": "ԛգ", "s": "ѕꜱ", "u": "սᴜ", "v": "νѵᴠ", "w": "ԝաᴡ", "x": "х", "y": "уүʏ", "z": "ᴢ", "-": "‐‑‒−⁃﹣", "'": "ʹʼˈ", ":": "։ː∶",
+    ".": "․", "/": "⁄∕", ";": ";", "!": "ǃ", "|": "∣ǀ", "~": "∼", "*": "∗", "µ": "μ",
 }
-#: Pairs of the list above whose drawings differ clearly in ordinary type; they stay apart.
-APART = set("гᴦкκτγιχυϒɩՍᑌγβ‚ʽƨϜ")
 #: Tags and further variation selectors, the characters without ink above the planes that the table goes through.
 INKLESS = (*range(0xE0001, 0xE0080), *range(0xE0100, 0xE01F0))
 _KEPT = {"<wide>", "<narrow>", "<noBreak>", "<font>", "<compat>"}
@@ -56,8 +56,7 @@ def prototypes() -> dict[int, str | None]:
                     table[code] = full
     for plain, others in LOOKALIKES.items():
         for ch in others:
-            if ch not in APART:
-                table[ord(ch)] = plain
+            table[ord(ch)] = plain
     for code, form in table.items():
         if form and len(form) <= 4:
             table[code] = "".join(table.get(ord(c), c) or "" if c != chr(code) else c for c in form)
@@ -87,21 +86,43 @@ def with_skeleton(records: DataFrame) -> DataFrame:
     return kept.mapInArrow(_add, "field string, rec_id bigint, page_id bigint, text string, skeleton string").where("skeleton <> ''")
 
 
-def ambiguous(formed: DataFrame) -> DataFrame:
-    """The rows of ``formed`` in every (field, page, skeleton) that is stored in more than one way.
+def _unusual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose text is not the composed form of its own skeleton."""
+    for batch in _add(batches):
+        texts, forms = batch.column("text").to_pylist(), batch.column("skeleton").to_pylist()
+        yield batch.filter(pa.array([bool(f) and unicodedata.normalize("NFC", f) != t for t, f in zip(texts, forms, strict=True)], pa.bool_()))
+
+
+#: Marks that stand for keys in the broadcast that goes before the join: at most so many, whatever the corpus.
+MARKS = 1 << 22
+_KEY = ["field", "page_id", "skeleton"]
 
-    The groups are recognised from their smallest and largest text, which aggregate before the shuffle, so a hot group
-    costs one row per task; the semi-join that follows may be split where it is skewed.
+
+def ambiguous(records: DataFrame) -> DataFrame:
+    """The rows of ``records`` with their skeleton in every (field, page, skeleton) that is stored in more than one way.
+
+    Of differing texts with one skeleton at least one is not the composed form of the skeleton. The keys of such texts,
+    hashed, are written first; only rows with one of these keys go on, most others are stopped by a broadcast of fixed
+    size before anything is shuffled. Groups are then recognised from their smallest and largest text, which aggregate
+    before the shuffle, so a hot group costs one row a task; the semi joins may be split where they are skewed.
     """
-    key = ["field", "page_id", "skeleton"]
-    mixed = formed.groupBy(*key).agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo <> hi").select(*key)
-    return formed.join(mixed, key, "left_semi")
+    key = F.xxhash64(*_KEY)
+    kept = records.where("text <> ''").select("field", F.col("rec_id").cast("bigint").alias("rec_id"), F.col("page_id").cast("bigint").alias("page_id"), "text")
+    odd = kept.where(F.col("text").rlike(r"[^\x20-\x7e]|^ | $"))
+    unusual = odd.mapInArrow(_unusual, "field string, rec_id bigint, page_id bigint, text string, skeleton string")
+    keys = materialize(unusual.select(key.alias("key")).distinct(), "p2-keys")
+    mark = F.pmod(F.col("key"), F.lit(MARKS)).cast("int").alias("mark")
+    marks = F.broadcast(keys.select(mark).distinct())
+    formed = with_skeleton(records).withColumn("key", key).withColumn("mark", mark)
+    near = formed.join(marks, "mark", "left_semi").drop("mark").join(keys, "key", "left_semi").drop("key")
+    near = materialize(near, "p2-near")
+    mixed = near.groupBy(*_KEY).agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo <> hi").select(*_KEY)
+    return near.join(mixed, _KEY, "left_semi")
 
 
 def lookalike_pairs(mixed: DataFrame) -> DataFrame:
     """``(field, id_a, id_b)``, id_a < id_b, of records in ``mixed`` with one skeleton and differing texts."""
-    key = ["field", "page_id", "skeleton"]
-    a = mixed.select(*key, F.col("rec_id").alias("ra"), F.col("text").alias("ta"))
-    b = mixed.select(*key, F.col("rec_id").alias("rb"), F.col("text").alias("tb"))
-    pairs = a.join(b, key).where("ta < tb AND ra <> rb")
+    a = mixed.select(*_KEY, F.col("rec_id").alias("ra"), F.col("text").alias("ta"))
+    b = mixed.select(*_KEY, F.col("rec_id").alias("rb"), F.col("text").alias("tb"))
+    pairs = a.join(b, _KEY).where("ta < tb AND ra <> rb")
     return pairs.select("field", F.least("ra", "rb").alias("id_a"), F.greatest("ra", "rb").alias("id_b")).distinct()

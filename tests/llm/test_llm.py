@@ -75,14 +75,14 @@ def test_lookalike_pairs_equal_brute_force(spark):
     forms = ["Ab c", "Аb c", "Ab​ c", "ab c", "Ａb c", "", None, "​", "ß" * 50_000]
     rows = [(rng.choice("xy"), k if k < 55 else k - 50, rng.randrange(4), rng.choice(forms), "e", "e") for k in range(60)]
     df = spark.createDataFrame(rows, "field string, rec_id bigint, page_id bigint, text string, skeleton string, lo string")
-    got = {tuple(r) for r in skeleton.lookalike_pairs(skeleton.ambiguous(skeleton.with_skeleton(df))).collect()}
+    got = {tuple(r) for r in skeleton.lookalike_pairs(skeleton.ambiguous(df)).collect()}
     want = set()
     for a in rows:
         for b in rows:
             if a[:1] == b[:1] and a[2] == b[2] and a[1] < b[1] and a[3] != b[3] and skeleton.skeleton(a[3]) and skeleton.skeleton(a[3]) == skeleton.skeleton(b[3]):
                 want.add((a[0], a[1], b[1]))
     assert got == want and want
-    assert skeleton.lookalike_pairs(skeleton.ambiguous(skeleton.with_skeleton(df.limit(0)))).count() == 0
+    assert skeleton.lookalike_pairs(skeleton.ambiguous(df.limit(0))).count() == 0
 
 
 # ---- 3 residue
