@@ -93,8 +93,8 @@ def _unusual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array([bool(f) and unicodedata.normalize("NFC", f) != t for t, f in zip(texts, forms, strict=True)], pa.bool_()))
 
 
-#: Marks that stand for keys in the broadcast that goes before the join: at most so many, whatever the corpus.
-MARKS = 1 << 22
+#: Bits that stand for keys in the broadcast that goes before the join: 2 MB whatever the corpus, in maps of ``WIDTH`` bits.
+BITS, WIDTH = 1 << 24, 1 << 15
 _KEY = ["field", "page_id", "skeleton"]
 
 
@@ -111,10 +111,12 @@ def ambiguous(records: DataFrame) -> DataFrame:
     odd = kept.where(F.col("text").rlike(r"[^\x20-\x7e]|^ | $"))
     unusual = odd.mapInArrow(_unusual, "field string, rec_id bigint, page_id bigint, text string, skeleton string")
     keys = materialize(unusual.select(key.alias("key")).distinct(), "p2-keys")
-    mark = F.pmod(F.col("key"), F.lit(MARKS)).cast("int").alias("mark")
-    marks = F.broadcast(keys.select(mark).distinct())
-    formed = with_skeleton(records).withColumn("key", key).withColumn("mark", mark)
-    near = formed.join(marks, "mark", "left_semi").drop("mark").join(keys, "key", "left_semi").drop("key")
+    bit = F.pmod(F.col("key"), F.lit(BITS))
+    bits = keys.groupBy(F.floor(bit / WIDTH).cast("int").alias("map")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(WIDTH))).alias("bits"))
+    formed = with_skeleton(records).withColumn("key", key).withColumn("map", F.floor(bit / WIDTH).cast("int")).withColumn("at", F.pmod(bit, F.lit(WIDTH)).cast("int"))
+    byte = F.conv(F.hex(F.expr("substring(bits, at div 8 + 1, 1)")), 16, 10).cast("int")
+    likely = formed.join(F.broadcast(bits), "map").where(byte.bitwiseAND(F.expr("shiftleft(1, at % 8)")) != 0)
+    near = likely.join(keys, "key", "left_semi").select(*formed.columns[:5])
     near = materialize(near, "p2-near")
     mixed = near.groupBy(*_KEY).agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo <> hi").select(*_KEY)
     return near.join(mixed, _KEY, "left_semi")
