@@ -93,7 +93,7 @@ def _unusual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array([bool(f) and unicodedata.normalize("NFC", f) != t for t, f in zip(texts, forms, strict=True)], pa.bool_()))
 
 
-#: Bits that stand for keys in the broadcast that goes before the join: 2 MB whatever the corpus, in maps of ``WIDTH`` bits.
+#: Bits that stand for keys in the filter that goes before the join: 2 MB whatever the corpus, made in maps of ``WIDTH`` bits.
 BITS, WIDTH = 1 << 24, 1 << 15
 _KEY = ["field", "page_id", "skeleton"]
 
@@ -102,8 +102,8 @@ def ambiguous(records: DataFrame) -> DataFrame:
     """The rows of ``records`` with their skeleton in every (field, page, skeleton) that is stored in more than one way.
 
     Of differing texts with one skeleton at least one is not the composed form of the skeleton. The keys of such texts,
-    hashed, are written first; only rows with one of these keys go on, most others are stopped by a broadcast of fixed
-    size before anything is shuffled. Groups are then recognised from their smallest and largest text, which aggregate
+    hashed, are written first; only rows with one of these keys go on, most others are stopped by a bit map of fixed size
+    before anything is shuffled. Groups are then recognised from their smallest and largest text, which aggregate
     before the shuffle, so a hot group costs one row a task; the semi joins may be split where they are skewed.
     """
     key = F.xxhash64(*_KEY)
@@ -112,11 +112,13 @@ def ambiguous(records: DataFrame) -> DataFrame:
     unusual = odd.mapInArrow(_unusual, "field string, rec_id bigint, page_id bigint, text string, skeleton string")
     keys = materialize(unusual.select(key.alias("key")).distinct(), "p2-keys")
     bit = F.pmod(F.col("key"), F.lit(BITS))
-    bits = keys.groupBy(F.floor(bit / WIDTH).cast("int").alias("map")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(WIDTH))).alias("bits"))
-    formed = with_skeleton(records).withColumn("key", key).withColumn("map", F.floor(bit / WIDTH).cast("int")).withColumn("at", F.pmod(bit, F.lit(WIDTH)).cast("int"))
-    byte = F.conv(F.hex(F.expr("substring(bits, at div 8 + 1, 1)")), 16, 10).cast("int")
-    likely = formed.join(F.broadcast(bits), "map").where(byte.bitwiseAND(F.expr("shiftleft(1, at % 8)")) != 0)
-    near = likely.join(keys, "key", "left_semi").select(*formed.columns[:5])
+    maps = bytearray(BITS // 8)
+    for row in keys.groupBy(F.floor(bit / WIDTH).cast("int").alias("map")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(WIDTH))).alias("bits")).collect():  # of fixed size
+        maps[row.map * WIDTH // 8 : (row.map + 1) * WIDTH // 8] = row.bits
+    formed = with_skeleton(records).withColumn("key", key)
+    byte = F.conv(F.hex(F.substring(F.lit(bytes(maps)), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    likely = formed.where(byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), F.pmod(bit, F.lit(8)).cast("int") + 1)) != 0)
+    near = likely.join(keys, "key", "left_semi").drop("key")
     near = materialize(near, "p2-near")
     mixed = near.groupBy(*_KEY).agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo <> hi").select(*_KEY)
     return near.join(mixed, _KEY, "left_semi")
