@@ -15,6 +15,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -87,10 +88,27 @@ def with_skeleton(records: DataFrame) -> DataFrame:
 
 
 def _unusual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose text is not the composed form of its own skeleton."""
+    """Rows whose text is not the composed form of its own skeleton, with the bit of their key."""
     for batch in _add(batches):
         texts, forms = batch.column("text").to_pylist(), batch.column("skeleton").to_pylist()
-        yield batch.filter(pa.array([bool(f) and unicodedata.normalize("NFC", f) != t for t, f in zip(texts, forms, strict=True)], pa.bool_()))
+        odd = batch.filter(pa.array([bool(f) and unicodedata.normalize("NFC", f) != t for t, f in zip(texts, forms, strict=True)], pa.bool_()))
+        yield pa.RecordBatch.from_arrays([*odd.columns, pa.array(_bits(odd), pa.int32())], [*odd.schema.names, "bit"])
+
+
+def _bits(batch: pa.RecordBatch) -> list[int]:
+    """The bit of each row's key in a map of ``BITS``."""
+    return [crc32(f"{f}|{p}|{s}".encode("utf-8", "surrogatepass")) & (BITS - 1) for f, p, s in zip(*(batch.column(c).to_pylist() for c in _KEY), strict=True)]
+
+
+def _likely(maps):
+    """Rows with their skeleton whose bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = maps.value
+        for batch in _add(batches):
+            yield batch.filter(pa.array([known[b >> 3] >> (b & 7) & 1 == 1 for b in _bits(batch)], pa.bool_()))
+
+    return run
 
 
 #: Bits that stand for keys in the filter that goes before the join: 2 MB whatever the corpus, made in maps of ``WIDTH`` bits.
@@ -109,16 +127,14 @@ def ambiguous(records: DataFrame) -> DataFrame:
     key = F.xxhash64(*_KEY)
     kept = records.where("text <> ''").select("field", F.col("rec_id").cast("bigint").alias("rec_id"), F.col("page_id").cast("bigint").alias("page_id"), "text")
     odd = kept.where(F.col("text").rlike(r"[^\x20-\x7e]|^ | $"))
-    unusual = odd.mapInArrow(_unusual, "field string, rec_id bigint, page_id bigint, text string, skeleton string")
-    keys = materialize(unusual.select(key.alias("key")).distinct(), "p2-keys")
-    bit = F.pmod(F.col("key"), F.lit(BITS))
+    unusual = odd.mapInArrow(_unusual, "field string, rec_id bigint, page_id bigint, text string, skeleton string, bit int")
+    keys = materialize(unusual.select(key.alias("key"), "bit").distinct(), "p2-keys")
     maps = bytearray(BITS // 8)
-    for row in keys.groupBy(F.floor(bit / WIDTH).cast("int").alias("map")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(WIDTH))).alias("bits")).collect():  # of fixed size
+    for row in keys.groupBy(F.expr(f"bit div {WIDTH}").alias("map")).agg(F.bitmap_construct_agg(F.col("bit") % WIDTH).alias("bits")).collect():  # of fixed size
         maps[row.map * WIDTH // 8 : (row.map + 1) * WIDTH // 8] = row.bits
-    formed = with_skeleton(records).withColumn("key", key)
-    byte = F.conv(F.hex(F.substring(F.lit(bytes(maps)), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    likely = formed.where(byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), F.pmod(bit, F.lit(8)).cast("int") + 1)) != 0)
-    near = likely.join(keys, "key", "left_semi").drop("key")
+    shared = records.sparkSession.sparkContext.broadcast(bytes(maps))
+    likely = kept.mapInArrow(_likely(shared), "field string, rec_id bigint, page_id bigint, text string, skeleton string").where("skeleton <> ''")
+    near = likely.withColumn("key", key).join(keys.select("key"), "key", "left_semi").drop("key")
     near = materialize(near, "p2-near")
     mixed = near.groupBy(*_KEY).agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo <> hi").select(*_KEY)
     return near.join(mixed, _KEY, "left_semi")
