@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.core import once, table
+from leafmill.core import materialize, once, table
 
 OCCURRENCE = "owner_id bigint, path string, parent_path string, member string, ordinal int, depth int, object_id string, parent_object_id string, body string"
 _SPACE = re.compile(r"[ \t\n\r]*")
@@ -256,7 +256,19 @@ def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.groupBy(F.when(broken, "invalid").otherwise(F.col("object_type")).alias("object_type")).agg(F.sum("n_occurrences").alias("n_occurrences"))
 
 
-QUERIES = {"p5_found": found, "p5_objects": _objects, "p5_links": _links, "p5_members": _scalars, "p5_occurrences": _occurrences}
+def _children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often an object stands in another one, by the member that holds it."""
+    return flatten(table(spark, sf_dir, "page_items")).where("parent_object_id IS NOT NULL").groupBy("member").agg(F.count("*").alias("n_links"))
+
+
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalars by member, counted from the members of objects stored once and how often each object occurs."""
+    stored = materialize(objects(flatten(table(spark, sf_dir, "page_items"))), "p5-objects")
+    scalars = members(stored).where("value_type <> 'object'").groupBy("object_id", "member").agg(F.count("*").alias("n"))
+    return scalars.join(stored.select("object_id", "n_occurrences"), "object_id").groupBy("member").agg(F.sum(F.col("n") * F.col("n_occurrences")).alias("n_values"))
+
+
+QUERIES = {"p5_found": found, "p5_objects": _objects, "p5_links": _links, "p5_members": _scalars, "p5_occurrences": _occurrences, "p5_children": _children, "p5_values": _values}
 
 _TREE = r"""
 WITH r AS (SELECT DISTINCT sd_id, items, invalid FROM page_items),
@@ -277,4 +289,9 @@ SQL = {
     "p5_occurrences": _NODES + """, o AS (SELECT json_extract_string(t.value, '$."@type"') AS object_type FROM n, json_tree(n.node) t WHERE t.type = 'OBJECT')
 SELECT object_type, count(*) AS n_occurrences FROM o GROUP BY object_type
 UNION ALL SELECT 'invalid', sum(len(invalid))::BIGINT FROM r WHERE len(invalid) > 0 HAVING sum(len(invalid)) > 0""",
+    "p5_children": _NODES + r""", o AS (SELECT regexp_extract(replace(t.fullkey, '"', ''), '\.([^.\[]+)(?:\[\d+\])*$', 1) AS member FROM n, json_tree(n.node) t WHERE t.type = 'OBJECT')
+SELECT member, count(*) AS n_links FROM o WHERE member <> '' GROUP BY member""",
+    "p5_values": _NODES + r""", o AS (SELECT regexp_extract(replace(t.fullkey, '"', ''), '\.([^.\[]+)(?:\[\d+\])*$', 1) AS member FROM n, json_tree(n.node) t WHERE t.type NOT IN ('OBJECT', 'ARRAY')
+  UNION ALL SELECT unnest(['index', 'error']) FROM (SELECT unnest(invalid) FROM r) q)
+SELECT member, count(*)::BIGINT AS n_values FROM o WHERE member <> '' GROUP BY member""",
 }
