@@ -85,6 +85,18 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.join(sizes, "pack_id").select("pack_id", "capacity", "n_containers", "n_tokens", (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity"))).alias("filled"))
 
 
+def p6_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each capacity whether every notebook is placed, no container is too full, every text that fits is whole, and how
+    many containers there are is within two in a hundred of the least."""
+    packed = materialize(p6_pack(spark, sf_dir), "p6-packed")
+    sizes = table(spark, sf_dir, "pack_sizes").select("pack_id", "capacity")
+    full = packed.groupBy("pack_id", "container_id").agg(F.sum("n_tokens").alias("n")).groupBy("pack_id").agg(F.max("n").alias("fullest"), F.count_if(F.col("n") > 0).alias("containers"), F.sum("n").alias("tokens"))
+    texts = packed.groupBy("pack_id", "doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("n")).join(F.broadcast(sizes), "pack_id")
+    whole = texts.groupBy("pack_id").agg(F.count("*").alias("n_documents"), F.bool_and(F.col("pieces") == F.greatest(F.ceil(F.col("n") / F.col("capacity")), F.lit(1))).alias("whole"))
+    made = full.join(whole, "pack_id").join(sizes, "pack_id")
+    return made.select("pack_id", "capacity", "n_documents", (F.col("fullest") <= F.col("capacity")).alias("fits"), "whole", (F.col("containers") <= F.ceil(F.col("tokens") / F.col("capacity")) * 1.02 + 1).alias("tight"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -125,5 +137,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1_VALUES + "SELECT field, item_value FROM g JOIN t USING (field) WHERE item_count >= 0.01 * field_total",
+        "p6_bounds": "SELECT pack_id, capacity, (SELECT count(*) FROM documents) AS n_documents, true AS fits, true AS whole, true AS tight FROM pack_sizes",
         "p1_counts": _P1_VALUES + "SELECT field, item_value, item_count, field_total FROM g JOIN t USING (field) WHERE item_count >= 0.01 * field_total",
     }
