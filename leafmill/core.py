@@ -63,11 +63,25 @@ def clean_up() -> None:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a reader of it. Rows and column types stay as they are."""
+#: Rows with whole texts that a Python stage takes at once, so that long texts need little memory.
+FEW_ROWS = 256
+
+
+def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and return a reader of it. Rows and column types stay as they are.
+
+    ``rows`` limits what Python stages of this plan take at once; the session's setting is back afterwards.
+    """
     spark = df.sparkSession
     path = f"{session_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    if rows and not 0 < int(before) < rows:
+        spark.conf.set(setting, str(rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
