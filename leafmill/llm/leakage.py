@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.core import materialize
+from leafmill.core import FEW_ROWS, materialize
 
 RUN = 10
 ONE_IN = 6
@@ -238,7 +238,7 @@ def store(corpus: DataFrame, vocabulary: list[str]) -> DataFrame:
             made = pa.RecordBatch.from_arrays([batch.column(0), *lists], ["doc_id", "terms", "positions"])
             yield made.filter(pa.array(np.diff(ends) > 0))
 
-    return materialize(corpus.mapInArrow(run, _POSTINGS), "p7-postings")
+    return materialize(corpus.mapInArrow(run, _POSTINGS), "p7-postings", FEW_ROWS)
 
 
 def _search(items: Items):

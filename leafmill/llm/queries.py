@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.core import materialize, table
+from leafmill.core import FEW_ROWS, materialize, table
 
 from leafmill.llm import fields, heavy, leakage, mojibake, packing, residue, skeleton, subjects
 
@@ -73,7 +73,7 @@ def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every notebook, or piece of one, in a container of each capacity."""
-    lengths = materialize(packing.with_tokens(table(spark, sf_dir, "documents")), "p6-lengths")
+    lengths = materialize(packing.with_tokens(table(spark, sf_dir, "documents")), "p6-lengths", FEW_ROWS)
     sizes = table(spark, sf_dir, "pack_sizes").orderBy("pack_id").collect()  # a handful by definition
     return packing.pack(lengths, [(r.pack_id, r.capacity) for r in sizes])
 

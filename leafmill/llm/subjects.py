@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.core import materialize
+from leafmill.core import FEW_ROWS, materialize
 from leafmill.llm.merge import add_up
 
 COLUMNS = 1 << 15
@@ -340,5 +340,5 @@ def assign(documents: DataFrame, labels: DataFrame, subjects: DataFrame, share:
     names = [r.subject for r in subjects.where("subject IS NOT NULL").select("subject").distinct().orderBy("subject").collect()]  # the allowed subjects, a fixed list
     if not names:
         return documents.sparkSession.createDataFrame([], "doc_id bigint, subject string, share double")
-    stored = materialize(cells(documents), "p8-cells")
+    stored = materialize(cells(documents), "p8-cells", FEW_ROWS)
     return document_subjects(stored, fit(stored, labels, names), share)
