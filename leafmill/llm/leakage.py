@@ -12,7 +12,7 @@
    the whole item to that stretch of the document decides (proximity).
 
 Words are runs of letters and digits, case folded; markup, escapes and borders of cells separate words and count nothing.
-Test items of more than ``MOST_WORDS`` words are taken in blocks over one stored table of the corpus's words.
+Test items of more than ``MOST_WORDS`` words are taken in blocks, each with an index of the words that it uses.
 
 Cases: null and empty texts hold nothing and leak nothing; an item without words is left out; an item shorter than the
 run counts only as a whole; repeated items and documents each give their own rows; ties in rarity are broken by term, so
@@ -21,13 +21,13 @@ results do not depend on partitioning; an item that stands in very many document
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.core import FEW_ROWS, materialize
@@ -40,14 +40,14 @@ KEPT = 3
 MOST_WORDS = 2_000_000
 #: Places that are followed at once in a task; more are followed in turns.
 AT_ONCE = 500_000
-_TAG = r"</?(?:a|b|i|u|p|em|br|hr|td|th|tr|li|ul|ol|dl|dt|dd|div|pre|sup|sub|img|span|code|font|mark|strong|small|table|tbody|thead|h[1-6]|blockquote|center|section)(?:\s[^<>]*)?/?>"
-_ESCAPE = r"(?<=[\p{L}\p{N}])\\[nrt]|\\[nrt](?![a-z])|&[a-z]{2,6};|&#\d{1,6};"
+_TAGS = "a b i u p em br hr td th tr li ul ol dl dt dd div pre sup sub img span code font mark strong small table tbody thead h[1-6] blockquote center section".split()
+_MARKUP = re.compile(rf"</?(?:{'|'.join(_TAGS)})(?:[ \t\n\x0b\f\r][^<>]*)?/?>|\\[nrt](?:(?<=[^\W_]\\[nrt])|(?![a-z]))|&(?:[a-z]{{2,6}}|#[0-9]{{1,6}});")
+_WORD = re.compile(r"[^\W_]+")
 
 
-def words(text: Column) -> Column:
+def words(text: str | None) -> list[str]:
     """The words of a text, in order."""
-    plain = F.regexp_replace(F.lower(text), f"{_TAG}|{_ESCAPE}", " ")
-    return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return _WORD.findall(_MARKUP.sub(" ", text.lower())) if text else []
 
 
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -222,23 +222,25 @@ def search(shard: Shard, items: Items) -> list[tuple[int, int, int, int | None]]
 _POSTINGS = "doc_id bigint, terms array<int>, positions array<int>"
 
 
-def store(corpus: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """The index of ``corpus(doc_id, words)``: a document's postings whose words are in the vocabulary, written once."""
+def store(documents: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """The index of ``documents(doc_id, text)``: a document's postings whose words are in the vocabulary, written once."""
+    shared = documents.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(vocabulary)})  # at most MOST_WORDS, or one item's
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(vocabulary, pa.string())
+        known, numbers = shared.value.get, pa.list_(pa.int32())
         for batch in batches:
-            given = batch.column(1)
-            begin = given.offsets.to_numpy()
-            term = pc.index_in(given.flatten(), value_set=known)
-            at = np.flatnonzero(term.is_valid().to_numpy(zero_copy_only=False)) + begin[0]
-            ends = np.searchsorted(at, begin).astype(np.int32)
-            position = (at - np.repeat(begin[:-1], np.diff(ends))).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(ends, pa.array(c, pa.int32())) for c in (term.drop_null(), position)]
-            made = pa.RecordBatch.from_arrays([batch.column(0), *lists], ["doc_id", "terms", "positions"])
-            yield made.filter(pa.array(np.diff(ends) > 0))
+            ids, terms, positions = [], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = [known(w, -1) for w in words(text)]
+                row = np.array(found, np.int32)
+                at = np.flatnonzero(row >= 0)
+                if len(at):
+                    ids.append(doc)
+                    terms.append(row[at])
+                    positions.append(at.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, numbers), pa.array(positions, numbers)], ["doc_id", "terms", "positions"])
 
-    return materialize(corpus.mapInArrow(run, _POSTINGS), "p7-postings", FEW_ROWS)
+    return materialize(documents.mapInArrow(run, _POSTINGS), "p7-postings", FEW_ROWS)
 
 
 def _search(items: Items):
@@ -256,14 +258,21 @@ def _search(items: Items):
     return run
 
 
-def _block(corpus: DataFrame, given: DataFrame) -> DataFrame | None:
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [words(t) for t in batch.column(1).to_pylist()]
+        made = pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["item_id", "w"])
+        yield made.filter(pa.array([bool(ws) for ws in found], pa.bool_()))
+
+
+def _block(documents: DataFrame, given: DataFrame) -> DataFrame | None:
     """Matches of one block of items."""
     rows = [(r.item_id, r.w) for r in given.collect()]  # at most MOST_WORDS words, or one item
     if not rows:
         return None
     vocabulary = sorted({w for _, ws in rows for w in ws})
     number = {w: k for k, w in enumerate(vocabulary)}
-    index = store(corpus, vocabulary)
+    index = store(documents, vocabulary)
     frequency = {r.term: r.n for r in index.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
     items = Items.of([(i, tuple(number[w] for w in ws)) for i, ws in rows], frequency)
     return index.mapInArrow(_search(items), "doc_id bigint, item_id bigint, run int, edits int")
@@ -272,14 +281,13 @@ def _block(corpus: DataFrame, given: DataFrame) -> DataFrame | None:
 def leaks(documents: DataFrame, eval_items: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
     """``(doc_id, item_id, run, edits)``: documents that hold an item, by an exact run or as a whole with few edits."""
     spark = documents.sparkSession
-    corpus = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), words(F.col("text")).alias("words"))
-    given = eval_items.select(F.col("item_id").cast("bigint").alias("item_id"), words(F.col("text")).alias("w")).where("size(w) > 0")
+    corpus = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    given = materialize(eval_items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").mapInArrow(_items, "item_id bigint, w array<string>"), "p7-items", FEW_ROWS)
     size = given.agg(F.sum(F.size("w")).alias("n"), F.max(F.size("w")).alias("longest")).first()
     found = []
     if size.n and size.n <= most_words:
         found = [_block(corpus, given)]
     elif size.n:
-        corpus, given = materialize(corpus, "p7-words"), materialize(given, "p7-items")
         n_blocks = 2 * size.n // max(most_words, size.longest) + 1  # half full, as items fall into blocks by hash
         block = F.pmod(F.xxhash64("item_id", "w"), F.lit(n_blocks))
         found = [_block(corpus, given.where(block == b)) for b in range(n_blocks)]

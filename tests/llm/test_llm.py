@@ -310,7 +310,7 @@ def test_leaks_equal_brute_force(spark):
     got = {(r.doc_id, r.item_id) for r in leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string, pos int"), spark.createDataFrame(items, "item_id bigint, text string, term string")).collect()}
 
     def words_of(df):
-        return {r[0]: tuple(r[1] or ()) for r in df.select(df.columns[0], leakage.words(df.text)).collect()}
+        return {r[0]: tuple(leakage.words(r[1])) for r in df.select(df.columns[0], df.text).collect()}
 
     number = {}
     code = lambda ws: tuple(number.setdefault(w, len(number)) for w in ws)
@@ -325,6 +325,11 @@ def test_leaks_equal_brute_force(spark):
     assert {g for g in got if g[0] != 502} == want and len(want) > 40
 
 
+def test_words_of_markup_and_escapes():
+    assert leakage.words('A<b>c</b> d\\ne\\n\\nf \\nthe x&amp;y <h2 id="q">Größe_1</h2> a<5 \\n') == "a c d e f nthe x y größe 1 a 5".split()
+    assert leakage.words(None) == leakage.words("?! ") == []
+
+
 def test_leaks_edges(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
     items = spark.createDataFrame([(1, "x y z")], "item_id bigint, text string")
