@@ -111,3 +111,15 @@ def once(df: DataFrame, *keys: Column) -> DataFrame:
     else:
         marked = stored.join(F.broadcast(df.sparkSession.createDataFrame(few, repeated.schema)), names, "left")
     return marked.where("_first IS NULL OR _at = _first").drop(*names, "_at", "_first")
+
+
+#: Tables up to this size may be dealt out to all cores before a Python stage.
+SMALL = 256 << 20
+
+
+def spread(df: DataFrame, source: DataFrame) -> DataFrame:
+    """``df``, dealt out to all cores if the stored ``source`` it comes from is small and has fewer parts than there are
+    cores, as one small file has. Anything larger stays in the parts that it is stored in and is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= SMALL and source.rdd.getNumPartitions() < cores else df

@@ -190,11 +190,12 @@ def is_resource(url: Column) -> Column:
 
 def link_kind(href: Column, resolved: Column, page: Column) -> Column:
     """special, anchor, internal or external for a link as written, its resolved form and the URL of the page."""
-    plain = lambda c: F.regexp_replace(c, "#.*$", "")
+    plain = lambda c: F.split_part(c, F.lit("#"), F.lit(1))
     here = F.regexp_replace(plain(page), "^(https?://[^/?#]+)(?=[?#]|$)", "$1/")
-    anchor = F.regexp_replace(href, f"^[{JS_WS}]+", "").rlike("^/?#") & (plain(resolved) == here)
+    special = href.rlike(f"(?i)^[{JS_WS}]*(?!https?:)[a-z][a-z0-9+.\\-]*:")
+    anchor = F.when(href.rlike(f"^[{JS_WS}]*/?#"), plain(resolved) == here).otherwise(False)
     same = site_of(host_of(resolved)) == site_of(host_of(page))
-    return F.when(special_protocol(href).isNotNull(), "special").when(anchor, "anchor").when(same, "internal").otherwise("external")
+    return F.when(special, "special").when(anchor, "anchor").when(same, "internal").otherwise("external")
 
 
 def kind_of(href: str, resolved: str, page: str) -> str:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.core import materialize, once, table
+from leafmill.core import materialize, once, spread, table
 from leafmill.functions import colors, register, text, urls
 from leafmill.operators import clean, css, facets, forms, jsonld, markdown, nested, record, selectors
 from leafmill.operators.tokenizer import elements, tokenize
@@ -37,7 +37,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored pages, a page delivered twice once."""
-    return once(table(spark, sf_dir, "pages"), F.col("page_id")).select("page_id", "url", "html")
+    stored = table(spark, sf_dir, "pages")
+    return spread(once(stored, F.col("page_id")).select("page_id", "url", "html"), stored)
 
 
 def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +67,8 @@ def rendered(rows: DataFrame, order: str, html: Column, head: bool = False, url:
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), html.alias("h"))))
     body = F.array_join(F.transform(parts, lambda p: p["h"]), "")
     start, end = ("<html><head>", "</head><body></body></html>") if head else ("<html><body>", "</body></html>")
-    made = rows.groupBy("page_id").agg(F.concat(F.lit(start), body, F.lit(end)).alias("html"))
+    parts_of = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = rows.repartition(parts_of, "page_id").groupBy("page_id").agg(F.concat(F.lit(start), body, F.lit(end)).alias("html"))
     return made.select("page_id", (url if url is not None else F.lit("https://firma.example/a/")).alias("url"), "html")
 
 
@@ -469,6 +471,11 @@ def _form_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered(rows, "c_custkey", html)
 
 
+def _form_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Their events, written once, as fields and labels are joined with forms."""
+    return materialize(tokenize(_form_pages(spark, sf_dir)), "events")
+
+
 _C = "c AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer), f AS (SELECT *, c_nationkey::BIGINT AS page_id FROM c WHERE k <= 50)"
 
 
@@ -479,12 +486,12 @@ def form_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_C} SELECT page_id, k::INT AS form, 'text' AS type, 'name' AS name, true AS required, 'Name ' || c_name AS label FROM f UNION ALL SELECT page_id, k, 'select', 'seg', false, 'Segment' FROM f UNION ALL SELECT page_id, k, 'hidden', 'h', false, c_mktsegment FROM f")
 def form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forms.fields(tokenize(_form_pages(spark, sf_dir))).select("page_id", "form", "type", "name", "required", "label")
+    return forms.fields(_form_tokens(spark, sf_dir)).select("page_id", "form", "type", "name", "required", "label")
 
 
 @query(f"WITH {_C} SELECT page_id, k::INT AS form, 'Send ' || c_custkey AS button FROM f UNION ALL SELECT page_id, k, 'Go ' || c_custkey FROM f")
 def form_buttons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forms.buttons(tokenize(_form_pages(spark, sf_dir))).select("page_id", "form", "button")
+    return forms.buttons(_form_tokens(spark, sf_dir)).select("page_id", "form", "button")
 
 
 @query(f"WITH {_C} SELECT page_id, 'https://firma.example/k/' || c_custkey AS action FROM f")
@@ -571,9 +578,9 @@ def hydration(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- style sheets and colours
 
 
-def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sheet for each brand: a variable and a rule for each part."""
-    rows = table(spark, sf_dir, "part").select(F.xxhash64("p_brand").alias("sheet_id"), "p_partkey", "p_size")
+def _sheets(spark: SparkSession, sf_dir: str, one: bool = False) -> DataFrame:
+    """A sheet for each brand, or one for all: a variable and a rule for each part."""
+    rows = table(spark, sf_dir, "part").select((F.lit(1).cast("bigint") if one else F.xxhash64("p_brand")).alias("sheet_id"), "p_partkey", "p_size")
     key, size = F.col("p_partkey").cast("string"), F.lpad(F.hex(F.col("p_size")), 2, "0")
     rule = F.concat(F.lit(":root{--c"), key, F.lit(":#0000"), size, F.lit("}/* x{} */@media (min-width:1px){.p"), key, F.lit("{color:var(--c"), key, F.lit(", red)!important;font:12px/1.5 \"F"), key, F.lit('", serif}}'))
     parts = F.array_sort(F.collect_list(F.struct("p_partkey", rule.alias("h"))))
@@ -591,6 +598,12 @@ def css_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return css.variables(css.declarations(_sheets(spark, sf_dir))).select("name", "definitions", "uses", "color")
 
 
+@query(SQL["css_variables"])
+def css_one_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sheet with a variable and a rule for every part."""
+    return css.variables(css.declarations(_sheets(spark, sf_dir, one=True))).select("name", "definitions", "uses", "color")
+
+
 @query("SELECT '#0000' || lpad(printf('%x', p_size), 2, '0') AS color, '--c' || p_partkey AS variable, 1::INT AS rank FROM part")
 def color_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return css.color_uses(css.declarations(_sheets(spark, sf_dir))).select("color", "variable", F.col("rank").cast("int").alias("rank"))
