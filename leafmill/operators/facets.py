@@ -394,11 +394,19 @@ def positions(tokens: DataFrame) -> DataFrame:
 
 def head_elements(tokens: DataFrame) -> DataFrame:
     """Elements of the head in page order: attributes, size of content in bytes, title text and Capo weight."""
-    rows = elements(tokens).where(F.col("tag").isin("base", "link", "meta", "noscript", "script", "style", "title") & within("head") & ~within("svg"))
-    texts = tokens.where((F.col("kind") == TEXT) & F.col("tag").isin("noscript", "script", "style", "title")).select("page_id", "node", F.col("text").alias("content"))
-    made = rows.join(texts, ["page_id", "node"], "left")
-    place = F.row_number().over(Window.partitionBy("page_id").orderBy("seq"))
-    return made.select("page_id", place.alias("place"), "tag", "attrs", F.octet_length("content").alias("size"), F.when(F.col("tag") == "title", clean_text(F.col("content"))).alias("text"), capo_weight().alias("weight"))
+    return _head_rows(tokens).drop("seq")
+
+
+def _head_rows(tokens: DataFrame) -> DataFrame:
+    """``head_elements`` with ``seq``. The content of such an element is one text, the event after its own, so it is told from
+    the row that follows; only its size moves, and the text of titles."""
+    filled = ["noscript", "script", "style", "title"]
+    wanted = F.when(F.col("kind") == ENTER, F.col("tag").isin("base", "link", "meta", *filled)).otherwise((F.col("kind") == TEXT) & F.col("tag").isin(filled))
+    content = F.when(F.col("kind") == TEXT, F.struct("node", F.octet_length("text").alias("size"), F.when(F.col("tag") == "title", clean_text(F.col("text"))).alias("text")))
+    rows = tokens.where(wanted & within("head") & ~within("svg")).select("page_id", "seq", "kind", "node", "tag", "attrs", content.alias("content"))
+    after = rows.withColumn("after", F.lead("content").over(_in_order()))
+    made = elements(after).withColumn("content", F.when(F.col("after.node") == F.col("node"), F.col("after")))
+    return made.select("page_id", F.row_number().over(_in_order()).alias("place"), "seq", "tag", "attrs", "content.size", "content.text", capo_weight().alias("weight"))
 
 
 def capo_weight() -> Column:
@@ -418,9 +426,9 @@ def head_issues(tokens: DataFrame, config: dict | None = None) -> DataFrame:
     """``(page_id, rule, severity, element)``; ``config`` maps rules to "off" or to limits such as {"max": 10}."""
     config = config or {}
     limit = lambda rule, default: config[rule].get("max", default) if isinstance(config.get(rule), dict) else default
-    rows = head_elements(tokens).withColumn("rel", F.lower(F.coalesce(attr("rel"), F.lit(""))))
-    early = F.count_if((F.col("tag") == "link") & (F.col("rel") == "stylesheet") | (F.col("tag") == "script")).over(Window.partitionBy("page_id").orderBy("place"))
-    preloads = F.count_if(F.col("rel") == "preload").over(Window.partitionBy("page_id").orderBy("place"))
+    rows = _head_rows(tokens).withColumn("rel", F.lower(F.coalesce(attr("rel"), F.lit(""))))
+    early = F.count_if((F.col("tag") == "link") & (F.col("rel") == "stylesheet") | (F.col("tag") == "script")).over(_in_order())
+    preloads = F.count_if(F.col("rel") == "preload").over(_in_order())
     name = F.lower(F.coalesce(attr("name"), attr("property")))
     rows = rows.withColumn("early", early).withColumn("preloads", preloads)
     dims = F.max(name.isin("og:image:width", "og:image:height").cast("int")).over(_page())

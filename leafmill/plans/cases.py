@@ -20,11 +20,16 @@ PAGE = "https://firma.example/a/"
 
 
 def _each_page(spark: SparkSession, sf_dir: str, *html, head: bool = False, url: str = PAGE) -> DataFrame:
-    """A page for every stored page with the same or similar html; ``#`` in a piece stands for the page's number."""
-    number = F.col("page_id").cast("string")
-    whole = F.replace(F.lit("".join(html)), F.lit("#"), number)
-    rows = pages(spark, sf_dir).select("page_id", F.lit(0).alias("o"))
-    return rendered(rows, "o", whole, head, F.lit(url))
+    """A page for every stored page with the same or similar html; ``#`` in a piece stands for the page's number.
+
+    Only numbers are grouped: a page is one row, so its html need not be put together as in ``rendered``.
+    """
+    start, end = ("<html><head>", "</head><body></body></html>") if head else ("<html><body>", "</body></html>")
+    whole = F.lit(f"{start}{''.join(html)}{end}")
+    if "#" in "".join(html):
+        whole = F.replace(whole, F.lit("#"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return pages(spark, sf_dir).select("page_id").repartition(parts, "page_id").distinct().select("page_id", F.lit(url).alias("url"), whole.alias("html"))
 
 
 # ---- links, images, metadata

@@ -115,6 +115,23 @@ def test_head(spark):
     assert facets.head_issues(page(spark, eight), {"too-many-preloads": {"max": 10}}).count() == 0 and facets.head_issues(page(spark, eight), {"too-many-preloads": "off"}).count() == 0
 
 
+def test_head_contents_are_neither_joined_nor_gathered(spark):
+    from leafmill.plans import cases
+
+    html = "<head><style></style><style>é{}</style><svg><title>no</title><style>p{}</style></svg><title> A  &amp; b</title><script src=x></script><noscript><p>n</noscript><base><title></title><meta charset=x></head><body><script>out</script><p>x"
+    expected = [("style", None, None), ("style", 4, None)]
+    assert [(r.tag, r["size"], r.text) for r in facets.head_elements(page(spark, html)).orderBy("place").collect()] == expected
+    html = html.replace("<svg><title>no</title><style>p{}</style></svg>", "")
+    expected += [("title", 6, "A & b"), ("script", None, None), ("noscript", 4, None), ("base", None, None), ("title", None, None), ("meta", None, None)]
+    assert [(r.tag, r["size"], r.text) for r in facets.head_elements(page(spark, html)).orderBy("place").collect()] == expected
+    made = cases._each_page(spark, "/root/testdata/sf0.001", "<style>", "p{}" * 20_000, "</style>", head=True)
+    plan = facets.head_issues(tokenize(made.limit(5)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "collect_list" not in plan and plan.split("MapInArrow")[0].count("Join") == 0
+    issues = facets.head_issues(tokenize(made))
+    assert issues.where("rule = 'inline-style-size'").count() == issues.count() == made.count() == catalog.pages(spark, "/root/testdata/sf0.001").count()
+    assert made.select("html").distinct().first().html == "<html><head><style>" + "p{}" * 20_000 + "</style></head><body></body></html>"
+
+
 def test_forms(spark):
     html = '<form><label>Wrap <select name=s><option>no</option></select></label><label for=e>Mail</label><input id=e type=EMAIL required><input type=submit value=" Go "><input name=p placeholder=" a  b " aria-label="Say"></form><input name=out>'
     got = [(r.type, r.name, r.label, r.required, r.placeholder) for r in forms.fields(page(spark, html)).orderBy("place").collect()]
