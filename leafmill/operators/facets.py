@@ -392,21 +392,29 @@ def positions(tokens: DataFrame) -> DataFrame:
     return elements(rows).select("page_id", "node", "seq", "tag", "text_before", "images_before", place.alias("position"))
 
 
+#: What the facets of heads need of ``tokenize``.
+HEAD_EVENTS = {"names": ["page_id", "seq", "kind", "node", "tag", "attrs", "text", "path"], "within": "head", "kinds": (ENTER, TEXT)}
+
+
 def head_elements(tokens: DataFrame) -> DataFrame:
     """Elements of the head in page order: attributes, size of content in bytes, title text and Capo weight."""
-    return _head_rows(tokens).drop("seq")
+    return _head_rows(tokens)
 
 
-def _head_rows(tokens: DataFrame) -> DataFrame:
-    """``head_elements`` with ``seq``. The content of such an element is one text, the event after its own, so it is told from
-    the row that follows; only its size moves, and the text of titles."""
+def _head_rows(tokens: DataFrame, **told: Column) -> DataFrame:
+    """``head_elements`` with what ``told`` says over the rows of a page, in the same window.
+
+    The content of such an element is one text, the event after its own, so it is told from the row that follows; only its
+    size moves, and the text of titles.
+    """
     filled = ["noscript", "script", "style", "title"]
     wanted = F.when(F.col("kind") == ENTER, F.col("tag").isin("base", "link", "meta", *filled)).otherwise((F.col("kind") == TEXT) & F.col("tag").isin(filled))
     content = F.when(F.col("kind") == TEXT, F.struct("node", F.octet_length("text").alias("size"), F.when(F.col("tag") == "title", clean_text(F.col("text"))).alias("text")))
     rows = tokens.where(wanted & within("head") & ~within("svg")).select("page_id", "seq", "kind", "node", "tag", "attrs", content.alias("content"))
-    after = rows.withColumn("after", F.lead("content").over(_in_order()))
+    place = F.count_if(F.col("kind") == ENTER).over(_so_far()).cast("int")
+    after = rows.select("*", F.lead("content").over(_in_order()).alias("after"), place.alias("place"), *(c.alias(n) for n, c in told.items()))
     made = elements(after).withColumn("content", F.when(F.col("after.node") == F.col("node"), F.col("after")))
-    return made.select("page_id", F.row_number().over(_in_order()).alias("place"), "seq", "tag", "attrs", "content.size", "content.text", capo_weight().alias("weight"))
+    return made.select("page_id", "place", "tag", "attrs", "content.size", "content.text", capo_weight().alias("weight"), *told)
 
 
 def capo_weight() -> Column:
@@ -426,13 +434,14 @@ def head_issues(tokens: DataFrame, config: dict | None = None) -> DataFrame:
     """``(page_id, rule, severity, element)``; ``config`` maps rules to "off" or to limits such as {"max": 10}."""
     config = config or {}
     limit = lambda rule, default: config[rule].get("max", default) if isinstance(config.get(rule), dict) else default
-    rows = _head_rows(tokens).withColumn("rel", F.lower(F.coalesce(attr("rel"), F.lit(""))))
-    early = F.count_if((F.col("tag") == "link") & (F.col("rel") == "stylesheet") | (F.col("tag") == "script")).over(_in_order())
-    preloads = F.count_if(F.col("rel") == "preload").over(_in_order())
-    name = F.lower(F.coalesce(attr("name"), attr("property")))
-    rows = rows.withColumn("early", early).withColumn("preloads", preloads)
-    dims = F.max(name.isin("og:image:width", "og:image:height").cast("int")).over(_page())
-    rows = rows.withColumn("dims", dims)
+    entered = F.col("kind") == ENTER
+    rel, name = F.lower(F.coalesce(attr("rel"), F.lit(""))), F.lower(F.coalesce(attr("name"), attr("property")))
+    rows = _head_rows(
+        tokens,
+        early=F.count_if(entered & ((F.col("tag") == "link") & (rel == "stylesheet") | (F.col("tag") == "script"))).over(_so_far()),
+        preloads=F.count_if(entered & (rel == "preload")).over(_so_far()),
+        dims=F.max(name.isin("og:image:width", "og:image:height").cast("int")).over(_in_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+    ).withColumn("rel", rel)
     tests = {
         "render-blocking-script": (F.col("tag") == "script") & attr("src").isNotNull() & attr("async").isNull() & attr("defer").isNull() & (F.coalesce(F.lower(attr("type")), F.lit("")) != "module"),
         "charset-not-early": (F.col("tag") == "meta") & attr("charset").isNotNull() & (F.col("early") >= limit("charset-not-early", 3)),

@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.core import once, session_dir, table
+from leafmill.core import FEW_ROWS, materialize, once, session_dir, table
 from leafmill.functions import register, urls
 from leafmill.operators import clean, css, facets, jsonld, markdown, selectors
 from leafmill.operators.tokenizer import elements, tokenize
@@ -146,10 +146,16 @@ _HEAD = (
 _RULES = "'render-blocking-script', 'charset-not-early', 'too-many-preloads', 'preload-font-crossorigin', 'preconnect-missing-crossorigin', 'inline-style-size', 'non-absolute-canonical', 'og-image-missing-dimensions', 'viewport-user-scalable', 'empty-meta-content', 'deprecated-twitter-meta'"
 
 
+def _head_case(spark: SparkSession, sf_dir: str, config: dict | None = None) -> DataFrame:
+    """A page is 60 KB here and its issues are a few words, so few pages are read at once and the issues are written."""
+    tokens = tokenize(_each_page(spark, sf_dir, _HEAD, head=True), **facets.HEAD_EVENTS)
+    return materialize(facets.head_issues(tokens, config).select("page_id", "rule"), "head-rules", FEW_ROWS)
+
+
 @query(f"SELECT DISTINCT page_id, unnest([{_RULES}]) AS rule FROM pages")
 def head_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rule about the head once."""
-    return facets.head_issues(tokenize(_each_page(spark, sf_dir, _HEAD, head=True))).select("page_id", "rule")
+    return _head_case(spark, sf_dir)
 
 
 @query("SELECT DISTINCT page_id, unnest(['too-many-preloads', 'non-absolute-canonical']) AS rule FROM pages")
@@ -158,7 +164,7 @@ def head_rules_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = {"too-many-preloads": {"max": 2}}
     off = {r.strip(" '"): "off" for r in _RULES.split(",")} | keep
     del off["non-absolute-canonical"]
-    return facets.head_issues(tokenize(_each_page(spark, sf_dir, _HEAD, head=True)), off).select("page_id", "rule")
+    return _head_case(spark, sf_dir, off)
 
 
 # ---- style sheets

@@ -132,6 +132,16 @@ def test_head_contents_are_neither_joined_nor_gathered(spark):
     assert made.select("html").distinct().first().html == "<html><head><style>" + "p{}" * 20_000 + "</style></head><body></body></html>"
 
 
+def test_events_told_by_column_tag_and_kind_are_those_of_all(spark):
+    pages = spark.createDataFrame([(1, URL, STALL), (2, URL, "<head><title>a</title><link rel=x><style>p{}"), (3, URL, None), (4, URL, "<p>x<head><base href=y>")], "page_id bigint, url string, html string")
+    few, names = tokenize(pages, **facets.HEAD_EVENTS), facets.HEAD_EVENTS["names"]
+    every = tokenize(pages).where(facets.within("head") & F.col("kind").isin(ENTER, TEXT)).select(*names)
+    by_place = lambda r: (r.page_id, r.seq)
+    assert few.schema == every.schema and sorted(few.collect(), key=by_place) == sorted(every.collect(), key=by_place) and few.count() > 5
+    assert sorted(facets.head_issues(few).collect()) == sorted(facets.head_issues(tokenize(pages)).collect())
+    assert sorted(map(str, facets.head_elements(few).collect())) == sorted(map(str, facets.head_elements(tokenize(pages)).collect()))
+
+
 def test_forms(spark):
     html = '<form><label>Wrap <select name=s><option>no</option></select></label><label for=e>Mail</label><input id=e type=EMAIL required><input type=submit value=" Go "><input name=p placeholder=" a  b " aria-label="Say"></form><input name=out>'
     got = [(r.type, r.name, r.label, r.required, r.placeholder) for r in forms.fields(page(spark, html)).orderBy("place").collect()]
